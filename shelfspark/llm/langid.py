@@ -62,7 +62,10 @@ def fold(text: str) -> np.ndarray:
 
 
 def suffix_automaton(symbols: np.ndarray, n_symbols: int = SYMBOLS) -> np.ndarray:
-    """Transitions (state, symbol) -> state of the suffix automaton of a sequence, -1 where there is none."""
+    """Transitions (state, symbol) -> state of the suffix automaton of a sequence, -1 where there is none.
+
+    The last state has no transitions; the parse waits there after a symbol that the sequence lacks.
+    """
     size = 2 * len(symbols) + 1
     go: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
@@ -91,7 +94,7 @@ def suffix_automaton(symbols: np.ndarray, n_symbols: int = SYMBOLS) -> np.ndarra
                 link[q] = link[new] = clone
         last = new
     assert len(go) <= size
-    table = np.full((len(go), n_symbols), -1, np.int32)
+    table = np.full((len(go) + 1, n_symbols), -1, np.int32)
     for state, arcs in enumerate(go):
         for s, to in arcs.items():
             table[state, s] = to
@@ -105,7 +108,7 @@ def phrase_counts(rows: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> n
     """
     n, width = rows.shape
     flat, columns = table.ravel(), np.ascontiguousarray(rows.T).astype(np.int64)
-    root = np.where(table[0] < 0, 0, table[0]).astype(np.int64)  # after an unknown symbol, a new phrase begins
+    root = np.where(table[0] < 0, len(table) - 1, table[0]).astype(np.int64)
     state = np.zeros(n, np.int64)
     phrases = (lengths > 0).astype(np.int64)
     for j in range(width):

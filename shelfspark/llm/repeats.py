@@ -140,16 +140,21 @@ def _running(values: np.ndarray, width: int, what) -> np.ndarray:
 
 
 class Minimisers:
-    """Minimisers of the passages of ``length`` words: ``least[i]`` belongs to the passage at ``starts[i]``."""
+    """Minimisers of the passages of ``length`` words: ``least[i]`` belongs to the passage at ``starts[i]``.
+
+    ``suffixes`` are the hashes of the suffixes retained, one for each position that some passage selects.
+    """
 
     def __init__(self, words: Words, hashes: np.ndarray, length: int, seed: int):
         self.starts = words.windows(length)
-        width = length - seed + 1
+        self.least = self.suffixes = np.zeros(0, np.uint64)
         if len(self.starts):
-            all_seeds = np.arange(len(words) - seed + 1)
-            self.least = _running(window_hashes(hashes, all_seeds, seed), width, np.minimum)[self.starts]
-        else:
-            self.least = np.zeros(0, np.uint64)
+            width = length - seed + 1
+            seeds = window_hashes(hashes, np.arange(len(words) - seed + 1), seed)
+            self.least = _running(seeds, width, np.minimum)[self.starts]
+            largest = np.zeros(len(seeds) + width - 1, np.uint64)
+            largest[self.starts + width - 1] = self.least
+            self.suffixes = seeds[_running(largest, width, np.maximum) == seeds]
 
 
 def repeated_passages(chunks: DataFrame, min_words: int = MIN_WORDS, seed: int = SEED) -> tuple[DataFrame, int]:
@@ -159,10 +164,7 @@ def repeated_passages(chunks: DataFrame, min_words: int = MIN_WORDS, seed: int =
 
     def suffixes(chunk: Chunk) -> Iterator[pa.RecordBatch]:
         words = chunk.words()
-        found = Minimisers(words, words.hashes(), min_words, seed).least
-        new = np.ones(len(found), bool)  # a suffix is retained once for the run of passages that select it
-        new[1:] = (found[1:] != found[:-1]) | (np.diff(words.documents_of(words.windows(min_words))) > 0)
-        yield from _distinct(chunk, found[new], bits, True)
+        yield from _distinct(chunk, Minimisers(words, words.hashes(), min_words, seed).suffixes, bits, True)
 
     def extend(chunk: Chunk, table: pa.Table) -> Iterator[pa.RecordBatch]:
         repeated, _ = reply_keys(table, bits, True)
