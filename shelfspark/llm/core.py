@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -35,8 +36,8 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-SLICE_BYTES = 4 << 20
-CHUNK_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+CHUNK_BYTES = 2 << 20
 
 _local_workspace: list[str] = []
 
@@ -66,18 +67,22 @@ def workspace(spark: SparkSession) -> str:
     return f"file://{_local_workspace[0]}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     """Writes a table to the workspace and returns a reader of it, which cuts the lineage.
 
-    Shuffle files of the finished step are released by a collection on both sides.
+    Shuffle files of the finished step are released by a collection on both sides; after a large
+    step Spark's cleaner gets a moment, so that two such steps don't lie on disk together.
     """
     spark = df.sparkSession
     path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     schema = df.schema
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(1 + large):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        if large and not spark.sparkContext.master.startswith("local["):
+            time.sleep(0.5)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -6,10 +6,11 @@ any common order; ordered by document frequency, those are mostly shingles that
 index at all. The others put the class into *tiles*: one for each such shingle and size band (sizes
 within a factor of four, and the next band for sizes near its edge, as similar sets can lie across it).
 
-Within a tile every class is compared with the tile's smallest one only. A bitmap of ``SIGNATURE_BITS``
+Within a tile every class is compared with one pivot only: the one with the fewest shingles of its own, which
+is the original among its copies. A bitmap of ``SIGNATURE_BITS``
 parities bounds the overlap from above (each bit that differs is a shingle in one set alone), and pairs
 that the bound admits are decided by the exact intersection. Connected components of these links leave
-few classes that are not joined to their tile's smallest: *strays*. Strays are compared with each other and
+few classes that are not joined to their tile's pivot: *strays*. Strays are compared with each other and
 with those joined members that the triangle inequality of the Jaccard distance cannot exclude. So all
 links that could join two components are examined, and a group of n near copies costs n comparisons.
 """
@@ -56,7 +57,7 @@ def signature(keys: np.ndarray, bits: int = SIGNATURE_BITS) -> bytes:
     return np.packbits(np.bincount((keys % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
-SETS = "doc_id long, n_shingles long, s1 long, s2 long, tokens array<bigint>, sig binary, arr binary"
+SETS = "doc_id long, n_shingles long, s1 long, s2 long, own long, tokens array<bigint>, sig binary, arr binary"
 
 
 def shingle_sets(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,7 +74,7 @@ def shingle_sets(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id
         if len(keys):
             yield keys_out(chunk.chunk, keys, counts, bits, False)
 
-    reply = stash(repeated_keys(from_chunks(chunks, count, KEYS), False), "frequencies")
+    reply = stash(repeated_keys(from_chunks(chunks, count, KEYS), False), "frequencies", large=True)
 
     def index(chunk: Chunk, table: pa.Table) -> Iterator[pa.RecordBatch]:
         sets = ShingleSets(chunk, size)
@@ -97,11 +98,11 @@ def shingle_sets(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id
             sigs.append(signature(sets.keys[own]))
             arrays.append(sets.keys[own].tobytes())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(chunk.ids, pa.int64()), pa.array(sets.sizes, pa.int64()), pa.array(sets.sums[0]), pa.array(sets.sums[1]), pa.array(tokens, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(arrays, pa.binary())],
+            [pa.array(chunk.ids, pa.int64()), pa.array(sets.sizes, pa.int64()), pa.array(sets.sums[0]), pa.array(sets.sums[1]), pa.array(unique.astype(np.int64)), pa.array(tokens, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(arrays, pa.binary())],
             names=[x.split()[0] for x in SETS.split(", ")],
         )
 
-    return stash(over_chunks(chunks, reply, index, SETS), "sets")
+    return stash(over_chunks(chunks, reply, index, SETS), "sets", large=True)
 
 
 def _bounded(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
@@ -158,13 +159,13 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     id is linked to nothing and has a null component.
     """
     sets = shingle_sets(docs, size, percent, id_col, text_col)
-    classes = stash(sets.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("tokens").alias("tokens")), "classes")
+    classes = stash(sets.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.min("own").alias("own"), F.first("tokens").alias("tokens")), "classes")
     band = F.floor(F.log(4.0, F.col("n_shingles").cast("double")) + 1e-12)
     edge = F.pow(F.lit(4.0), band + 1) * (percent / 100) <= F.col("n_shingles")
     bands = F.when(edge, F.array(band, band + 1)).otherwise(F.array(band))
-    tiles = classes.select("rep", F.explode("tokens").alias("token"), bands.alias("bands")).select("rep", "token", F.explode("bands").alias("band"))
+    tiles = classes.select("rep", "own", "n_shingles", F.explode("tokens").alias("token"), bands.alias("bands")).select("rep", "own", "n_shingles", "token", F.explode("bands").alias("band"))
     tiles = stash(tiles, "tiles")
-    pivots = tiles.groupBy("token", "band").agg(F.min("rep").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
+    pivots = tiles.groupBy("token", "band").agg(F.min(F.struct("own", "rep"))["rep"].alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = stash(tiles.join(pivots, ["token", "band"]).where("rep <> pivot"), "members")
     # Only classes that share a tile need their arrays; a class is read once, from its smallest document.
     needed = members.select(F.col("rep").alias("doc_id")).union(members.select(F.col("pivot").alias("doc_id"))).distinct()
@@ -175,14 +176,16 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     labels = components(links)
     label = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_label"))
     seen = members.withColumnsRenamed({"rep": "a", "pivot": "b"}).join(star, ["a", "b"]).join(label("a"), "a", "left").join(label("b"), "b", "left")
-    seen = stash(seen.select("token", "band", "a", F.coalesce("a_label", "a").alias("label"), "most", "linked", (F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).alias("stray")), "seen")
+    seen = stash(seen.select("token", "band", "a", "n_shingles", F.coalesce("a_label", "a").alias("label"), "most", "linked", (F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).alias("stray")), "seen")
     reach = 1 - percent / 100
     strays = stash(seen.where("stray"), "strays")
     nearest = strays.groupBy("token", "band").agg(F.min(1 - F.col("most")).alias("nearest"))
     edge_members = seen.where("not stray").join(nearest, ["token", "band"]).where(~F.col("linked") | (1 - F.col("most") >= F.col("nearest") - reach - 1e-9))
-    others = strays.select("token", "band", F.col("a").alias("b"), F.col("label").alias("b_label")).union(edge_members.select("token", "band", F.col("a"), "label"))
-    apart = (F.col("label") != F.col("b_label")) & (F.col("a") != F.col("b"))
-    again = strays.select("token", "band", "a", "label").join(stash(others, "others"), ["token", "band"]).where(apart)
+    columns = [F.col("a").alias("b"), F.col("label").alias("b_label"), F.col("n_shingles").alias("b_n")]
+    others = strays.select("token", "band", *columns, F.lit(True).alias("both")).union(edge_members.select("token", "band", *columns, F.lit(False)))
+    near_size = 100 * F.least("n_shingles", "b_n") >= percent * F.greatest("n_shingles", "b_n")
+    apart = (F.col("label") != F.col("b_label")) & (~F.col("both") | (F.col("a") < F.col("b"))) & near_size
+    again = strays.select("token", "band", "a", "n_shingles", "label").join(stash(others, "others"), ["token", "band"]).where(apart)
     again = again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _compared(again, held, percent, "strays").where("linked").select("a", "b")
     labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))

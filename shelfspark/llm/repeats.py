@@ -66,7 +66,7 @@ def repeated_windows(chunks: DataFrame, window: int = WINDOW) -> tuple[DataFrame
         words = chunk.words()
         yield from _distinct(chunk, window_hashes(words.hashes(), words.windows(levels[0]), levels[0]), bits, len(levels) == 1)
 
-    reply = stash(repeated_keys(from_chunks(chunks, first, KEYS), len(levels) == 1), "level")
+    reply = stash(repeated_keys(from_chunks(chunks, first, KEYS), len(levels) == 1), "level", large=True)
     for before, length in zip(levels, levels[1:], strict=False):
         wide = length == window
 
@@ -81,7 +81,7 @@ def repeated_windows(chunks: DataFrame, window: int = WINDOW) -> tuple[DataFrame
             longer = longer[alone[longer] & alone[longer + length - before]]
             yield from _distinct(chunk, window_hashes(hashes, longer, length), bits, wide)
 
-        reply = stash(repeated_keys(over_chunks(chunks, reply, extend, KEYS), wide), "level")
+        reply = stash(repeated_keys(over_chunks(chunks, reply, extend, KEYS), wide), "level", large=True)
     return reply, bits
 
 
@@ -174,8 +174,8 @@ def repeated_passages(chunks: DataFrame, min_words: int = MIN_WORDS, seed: int =
             m = Minimisers(words, hashes, min_words, seed)
             yield from _distinct(chunk, window_hashes(hashes, m.starts[member(m.least, repeated)], min_words), bits, True)
 
-    reply = stash(repeated_keys(from_chunks(chunks, suffixes, KEYS), True), "suffixes")
-    return stash(repeated_keys(over_chunks(chunks, reply, extend, KEYS), True), "passages"), bits
+    reply = stash(repeated_keys(from_chunks(chunks, suffixes, KEYS), True), "suffixes", large=True)
+    return stash(repeated_keys(over_chunks(chunks, reply, extend, KEYS), True), "passages", large=True), bits
 
 
 def _found(chunk: Chunk, table: pa.Table, bits: int, min_words: int) -> tuple[Words, np.ndarray, np.ndarray]:
