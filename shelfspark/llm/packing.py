@@ -11,14 +11,17 @@ length, so a length that most documents share is spread over many tasks.
 
 from __future__ import annotations
 
+import base64
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from struct import pack as packed
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -28,21 +31,25 @@ from .core import arrow_limits, documents, stash
 VOCABULARY = "byte_bpe_50k.json"
 SEQUENCE = 1024
 SALTS = 256
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 _UNSETTLED = regex.compile("[̀-\U0010ffff]")
 
 
 class ByteTokens:
-    """Token ids by the tokenizers library, asked once for each distinct piece of a text.
+    """Token ids as the tokenizers library gives them, found once for each distinct piece of a text.
 
     The library's splitter cuts a text by a fixed pattern and encodes each piece by itself. Below
-    U+0300 the pattern gives the same pieces here; texts beyond go to the library whole.
+    U+0300 the pattern gives the same pieces here, and the same vocabulary's ranks give a piece's ids;
+    texts beyond, or with special tokens, go to the library whole.
     """
 
     def __init__(self, name: str = VOCABULARY):
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
         self.find = regex.compile(public_tokenizers.PATTERN).findall
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        with open(public_tokenizers.path(name.replace(".json", ".tiktoken")), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.piece = tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.cache: dict[str, bytes] = {}
 
     def _whole(self, text: str) -> bytes:
@@ -53,11 +60,9 @@ class ByteTokens:
         split = [None if _UNSETTLED.search(t) or any(s in t for s in self.special) else self.find(t) for t in texts]
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        new = list({w for words in split if words for w in words if w not in self.cache})
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+        for w in {w for words in split if words for w in words if w not in self.cache}:
+            ids = self.piece(w)
+            self.cache[w] = packed(f"<{len(ids)}I", *ids)
         get = self.cache.__getitem__
         return [self._whole(t) if words is None else b"".join(map(get, words)) for t, words in zip(texts, split, strict=True)]
 
