@@ -12,7 +12,8 @@ parities bounds the overlap from above (each bit that differs is a shingle in on
 that the bound admits are decided by the exact intersection. Connected components of these links leave
 few classes that are not joined to their tile's pivot: *strays*. Strays are compared with each other and
 with those joined members that the triangle inequality of the Jaccard distance cannot exclude. So all
-links that could join two components are examined, and a group of n near copies costs n comparisons.
+links that could join two components are examined, and a group of n linked copies costs n comparisons.
+Sizes and a folded bitmap are part of the strays' join condition, so pairs they exclude are never emitted.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from .core import KEYS, Chunk, bucket_bits, chunk_corpus, components, documents, from_chunks, keys_out, over_chunks, repeated_keys, reply_keys, shorten, small, span_hashes, stash, total_words, window_hashes
 
 SIGNATURE_BITS = 1024
+FOLDED = 8
 
 
 class ShingleSets:
@@ -57,7 +59,7 @@ def signature(keys: np.ndarray, bits: int = SIGNATURE_BITS) -> bytes:
     return np.packbits(np.bincount((keys % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
-SETS = "doc_id long, n_shingles long, s1 long, s2 long, own long, tokens array<bigint>, sig binary, arr binary"
+SETS = "doc_id long, n_shingles long, s1 long, s2 long, own long, tokens array<bigint>, sig binary, fold array<bigint>, arr binary"
 
 
 def shingle_sets(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,19 +88,21 @@ def shingle_sets(docs: DataFrame, size: int, percent: int, id_col: str = "doc_id
             often = np.where(shared[at] == short, totals[at] & np.uint32(0x7FFFFFFF), 1).astype(np.int64)
         prefix = sets.sizes - -(-percent * sets.sizes // 100) + 1
         unique = np.bincount(sets.doc[often == 1], minlength=len(sets.sizes))
-        tokens, sigs, arrays = [], [], []
+        tokens, sigs, folds, arrays = [], [], [], []
         for d, need in enumerate((prefix - unique).tolist()):
             if not sets.sizes[d] or need <= 0:
-                tokens.append(None), sigs.append(None), arrays.append(None)
+                tokens.append(None), sigs.append(None), folds.append(None), arrays.append(None)
                 continue
             own = slice(sets.first[d], sets.first[d + 1])
             keys, df = short[own], often[own]
             keys, df = keys[df > 1], df[df > 1]
             tokens.append(keys[np.lexsort((keys, df))[:need]].astype(np.int64))
             sigs.append(signature(sets.keys[own]))
+            # The parities of a smaller bitmap are those of its parts taken together.
+            folds.append(np.bitwise_xor.reduce(np.frombuffer(sigs[-1], np.int64).reshape(-1, FOLDED), axis=0))
             arrays.append(sets.keys[own].tobytes())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(chunk.ids, pa.int64()), pa.array(sets.sizes, pa.int64()), pa.array(sets.sums[0]), pa.array(sets.sums[1]), pa.array(unique.astype(np.int64)), pa.array(tokens, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(arrays, pa.binary())],
+            [pa.array(chunk.ids, pa.int64()), pa.array(sets.sizes, pa.int64()), pa.array(sets.sums[0]), pa.array(sets.sums[1]), pa.array(unique.astype(np.int64)), pa.array(tokens, pa.list_(pa.int64())), pa.array(sigs, pa.binary()), pa.array(folds, pa.list_(pa.int64())), pa.array(arrays, pa.binary())],
             names=[x.split()[0] for x in SETS.split(", ")],
         )
 
@@ -169,23 +173,27 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     members = stash(tiles.join(pivots, ["token", "band"]).where("rep <> pivot"), "members")
     # Only classes that share a tile need their arrays; a class is read once, from its smallest document.
     needed = members.select(F.col("rep").alias("doc_id")).union(members.select(F.col("pivot").alias("doc_id"))).distinct()
-    held = sets.where("tokens is not null").select("doc_id", "n_shingles", "sig", "arr")
+    held = sets.where("tokens is not null").select("doc_id", "n_shingles", "sig", "fold", "arr")
     held = stash(held.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "held")
     star = _compared(members.select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct(), held, percent, "star")
     links = star.where("linked").select("a", "b")
     labels = components(links)
     label = lambda name: labels.select(F.col("node").alias(name), F.col("component").alias(f"{name}_label"))
-    seen = members.withColumnsRenamed({"rep": "a", "pivot": "b"}).join(star, ["a", "b"]).join(label("a"), "a", "left").join(label("b"), "b", "left")
-    seen = stash(seen.select("token", "band", "a", "n_shingles", F.coalesce("a_label", "a").alias("label"), "most", "linked", (F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).alias("stray")), "seen")
+    folds = held.select(F.col("doc_id").alias("a"), "fold")
+    seen = members.withColumnsRenamed({"rep": "a", "pivot": "b"}).join(star, ["a", "b"]).join(folds, "a").join(label("a"), "a", "left").join(label("b"), "b", "left")
+    seen = stash(seen.select("token", "band", "a", "n_shingles", "fold", F.coalesce("a_label", "a").alias("label"), "most", "linked", (F.coalesce("a_label", "a") != F.coalesce("b_label", "b")).alias("stray")), "seen")
     reach = 1 - percent / 100
     strays = stash(seen.where("stray"), "strays")
     nearest = strays.groupBy("token", "band").agg(F.min(1 - F.col("most")).alias("nearest"))
     edge_members = seen.where("not stray").join(nearest, ["token", "band"]).where(~F.col("linked") | (1 - F.col("most") >= F.col("nearest") - reach - 1e-9))
-    columns = [F.col("a").alias("b"), F.col("label").alias("b_label"), F.col("n_shingles").alias("b_n")]
+    columns = [F.col("a").alias("b"), F.col("label").alias("b_label"), F.col("n_shingles").alias("b_n"), *(F.col("fold")[k].alias(f"g{k}") for k in range(FOLDED))]
     others = strays.select("token", "band", *columns, F.lit(True).alias("both")).union(edge_members.select("token", "band", *columns, F.lit(False)))
     near_size = 100 * F.least("n_shingles", "b_n") >= percent * F.greatest("n_shingles", "b_n")
-    apart = (F.col("label") != F.col("b_label")) & (~F.col("both") | (F.col("a") < F.col("b"))) & near_size
-    again = strays.select("token", "band", "a", "n_shingles", "label").join(stash(others, "others"), ["token", "band"]).where(apart)
+    differ = sum((F.bit_count(F.col(f"f{k}").bitwiseXOR(F.col(f"g{k}"))) for k in range(1, FOLDED)), F.bit_count(F.col("f0").bitwiseXOR(F.col("g0"))))
+    total = F.col("n_shingles") + F.col("b_n")
+    near_bits = (100 + percent) * (total - differ) >= 2 * percent * total  # overlap at most (total - differ) / 2
+    apart = (F.col("label") != F.col("b_label")) & (~F.col("both") | (F.col("a") < F.col("b"))) & near_size & near_bits
+    again = strays.select("token", "band", "a", "n_shingles", "label", *(F.col("fold")[k].alias(f"f{k}") for k in range(FOLDED))).join(stash(others, "others"), ["token", "band"]).where(apart)
     again = again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     more = _compared(again, held, percent, "strays").where("linked").select("a", "b")
     labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
