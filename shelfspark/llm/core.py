@@ -36,8 +36,8 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
-SLICE_BYTES = 2 << 20
-CHUNK_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
+CHUNK_BYTES = 1 << 20
 
 _local_workspace: list[str] = []
 
@@ -52,7 +52,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def arrow_limits(spark: SparkSession) -> None:
     """Bounds what one Arrow batch can hold, so long texts don't add up in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def workspace(spark: SparkSession) -> str:

@@ -31,7 +31,7 @@ from .core import arrow_limits, documents, stash
 VOCABULARY = "byte_bpe_50k.json"
 SEQUENCE = 1024
 SALTS = 256
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 _UNSETTLED = regex.compile("[̀-\U0010ffff]")
 
 
