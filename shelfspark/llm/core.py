@@ -15,6 +15,8 @@ Intermediate tables go to the folder in ``spark.checkpoint.dir``, which all exec
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import time
@@ -86,6 +88,13 @@ def stash(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def trim() -> None:
+    """Gives memory that a Python worker has freed back to the system, since workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 # --- words -----------------------------------------------------------------------------------
 
 _powers = {"n": 0, "up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
@@ -264,6 +273,7 @@ def chunk_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 held += len(piece)
         if ids:
             yield flush()
+        trim()
 
     slim = df.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
     return stash(slim.mapInArrow(cut, CHUNKS), "chunks")
@@ -355,6 +365,7 @@ def repeated_keys(keyed: DataFrame, wide: bool) -> DataFrame:
         bucket, chunk = table.column("bucket")[0].as_py(), table.column("chunk").to_pylist()
         rows = [(c, keys[a:b][keep[a:b]], total[a:b][keep[a:b]]) for c, a, b in zip(chunk, edges[:-1], edges[1:], strict=True)]
         rows = [r for r in rows if len(r[1])]
+        trim()
         return pa.table(
             {
                 "bucket": pa.array([bucket] * len(rows), pa.int32()),
@@ -394,6 +405,7 @@ def over_chunks(chunks: DataFrame, reply: DataFrame, work: Callable[[Chunk, pa.T
 
     def run(left: pa.Table, right: pa.Table):
         out = [b for c in chunk_rows(left) for b in work(c, right if right.num_rows else empty)]
+        trim()
         return pa.Table.from_batches(out) if out else pa.table({n: pa.array([], t) for n, t in out_types})
 
     from pyspark.sql.pandas.types import to_arrow_type
@@ -410,6 +422,7 @@ def from_chunks(chunks: DataFrame, work: Callable[[Chunk], Iterator[pa.RecordBat
         for batch in batches:
             for c in chunk_rows(batch):
                 yield from work(c)
+                trim()
 
     return chunks.mapInArrow(run, schema)
 

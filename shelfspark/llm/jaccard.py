@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import KEYS, Chunk, bucket_bits, chunk_corpus, components, documents, from_chunks, keys_out, over_chunks, repeated_keys, reply_keys, shorten, small, span_hashes, stash, total_words, window_hashes
+from .core import KEYS, Chunk, bucket_bits, chunk_corpus, components, documents, from_chunks, keys_out, over_chunks, repeated_keys, reply_keys, shorten, small, span_hashes, stash, total_words, trim, window_hashes
 
 SIGNATURE_BITS = 1024
 FOLDED = 8
@@ -121,6 +121,7 @@ def _bounded(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
             differ = np.bitwise_count(left ^ right).sum(axis=1).astype(np.int64)
             overlap = np.minimum((na + nb - differ) // 2, np.minimum(na, nb))
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(np.maximum(overlap, 0) / (na + nb - np.maximum(overlap, 0)))], names=["a", "b", "most"])
+        trim()
 
     return pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, most double")
 
@@ -142,6 +143,7 @@ def _exact(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
                 both.append(n)
                 union.append(len(left) + len(right) - n)
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), pa.array(both, pa.int64()), pa.array(union, pa.int64())], names=["a", "b", "overlap", "total"])
+        trim()
 
     return pairs.join(x, "a").join(y, "b").select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long, overlap long, total long")
 

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import _BYTE_CODE, Words, arrow_limits, documents, mix64, slices, small, span_hashes, stash, string_buffers, window_hashes
+from .core import _BYTE_CODE, Words, arrow_limits, documents, mix64, slices, small, span_hashes, stash, string_buffers, trim, window_hashes
 
 LINE_DOCS = 50
 LINE_SHARE = 0.05
@@ -114,6 +114,7 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     names=[x.split()[0] for x in STATS.split(", ")],
                 )
                 row += n
+        trim()
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
