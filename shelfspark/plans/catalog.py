@@ -193,9 +193,8 @@ SQL: dict[str, Callable[[Dialect], str]] = {
 }
 
 
-def render(name: str, dialect: Dialect) -> str:
-    """The query with the views that it needs, directly or through others, in order."""
-    body = SQL[name](dialect)
+def render(body: str, dialect: Dialect) -> str:
+    """A query with the views that it needs, directly or through others, in order."""
     texts = {v: f(dialect) for v, f in VIEWS.items()}
     needed: set[str] = set()
 
@@ -213,17 +212,22 @@ def render(name: str, dialect: Dialect) -> str:
     return re.sub(r"(?<![\w'.])(\d+\.\d+)(?![\w'.])", r"\1e0", text)  # plain literals would be decimals
 
 
+def run(spark: SparkSession, sf_dir: str, body: str) -> DataFrame:
+    """A Spark query over the shelf views and the tables."""
+    text = render(body, SPARK)
+    for t in TABLES:
+        if re.search(rf"\b{t}\b", text):
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    return spark.sql(text)
+
+
 def _query(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        text = render(name, SPARK)
-        for t in TABLES:
-            if re.search(rf"\b{t}\b", text):
-                spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        return spark.sql(text)
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run(spark, sf_dir, SQL[name](SPARK))
 
-    run.__name__ = name
-    return run
+    query.__name__ = name
+    return query
 
 
 QUERIES = {name: _query(name) for name in SQL}
-ORACLE = {name: render(name, DUCK) for name in SQL}
+ORACLE = {name: render(body(DUCK), DUCK) for name, body in SQL.items()}
