@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips and their edge cases."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -451,6 +452,23 @@ def test_quality_statistics(docs, corpus):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
 
 
+def test_line_similarity_is_the_edit_distance(spark):
+    """The bound by replaced words and the cut at equal ends must not change which lines are similar."""
+    rng = random.Random(8)
+    rows = []
+    for _ in range(400):
+        words = [rng.choice(["a", "bb", "ccc", "né", "eeeee"]) for _ in range(rng.randint(1, 12))]
+        other = list(words)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(other) + 1)
+            other[at : at + rng.randint(0, 2)] = rng.choices(["a", "bb", "xyz"], k=rng.randint(0, 2))
+        rows.append((" ".join(words), " ".join(other or ["a"])))
+    pairs = spark.createDataFrame(rows, "x string, y string")
+    got = pairs.select("x", "y", lines._similar(F.col("x"), F.col("y")).alias("similar"), F.levenshtein("x", "y").alias("d")).collect()
+    assert all(r["similar"] == (r["d"] <= int(0.2 * max(len(r["x"]), len(r["y"])) + 1e-9)) for r in got)
+    assert 50 < sum(r["similar"] for r in got) < 350
+
+
 def test_quality_line_frequency(spark):
     notice = "Please accept all 12 cookies"
     texts = [prose(100 + k, 60) + f"\n{notice}" for k in range(12)] + ["\n".join([f"please  accept all 99 COOKIES"] * 15 + [f"only{k}"]) for k in range(3)] + [None, ""]
