@@ -196,9 +196,15 @@ def window_hashes(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return span_hashes(words, at, at + length)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """Marks a written table for broadcasting if it has at most so many rows; a larger one is joined by a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+#: Bytes of texts that may be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+
+def small(df: DataFrame, rows: int, text: str | None = None) -> DataFrame:
+    """Marks a written table for broadcasting if it has at most so many rows and, where it carries texts, BROADCAST_BYTES of them; a larger one is joined by a shuffle."""
+    size = F.sum(F.octet_length(text)) if text else F.lit(0)
+    n, held = df.agg(F.count("*"), size).first()
+    return F.broadcast(df) if n <= rows and (held or 0) <= BROADCAST_BYTES else df
 
 
 def string_buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -274,7 +274,7 @@ def drop_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     changed = stash(over_chunks(chunks, reply, finish, "_id long, _hash long, _text string"), "cut-texts")
     # Copies share a hash; the one that keeps most of its text decides, so that it stays once.
     changed = changed.groupBy("_id", "_hash").agg(F.max_by("_text", F.coalesce(F.length("_text"), F.lit(-1))).alias("_text"), F.lit(True).alias("_changed"))
-    changed = small(stash(changed, "cut-texts"), BROADCAST_ROWS // 10)
+    changed = small(stash(changed, "cut-texts"), BROADCAST_ROWS // 10, "_text")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col("_hash"))
     joined = docs.join(changed, same, "left").where(F.col("_changed").isNull() | F.col("_text").isNotNull())
     return joined.withColumn("text", F.when(F.col("_changed"), F.col("_text")).otherwise(F.col("text"))).select(docs.columns)

@@ -452,6 +452,21 @@ def test_quality_statistics(docs, corpus):
         assert r["base_failed"] == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
 
 
+def test_texts_are_broadcast_by_their_bytes(spark, monkeypatch):
+    """Few rows with much text are joined by a shuffle, with the same rows."""
+    shared = prose(90, 80)
+    docs = frame(spark, [f"{prose(91 + k, 70)} {shared}" for k in range(4)] + [None, ""])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # Spark's own choice for small files
+    wide = repeats.drop_passages(docs)
+    assert "BroadcastHashJoin" in wide._jdf.queryExecution().simpleString()
+    monkeypatch.setattr(core, "BROADCAST_BYTES", 10)
+    dealt = repeats.drop_passages(docs)
+    assert "BroadcastHashJoin" not in dealt._jdf.queryExecution().simpleString()
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, wide.collect()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_line_similarity_is_the_edit_distance(spark):
     """The bound by replaced words and the cut at equal ends must not change which lines are similar."""
     rng = random.Random(8)
