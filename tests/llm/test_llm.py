@@ -383,6 +383,32 @@ def test_line_links_are_similar(spark):
     assert sum(r["doc_id"] != r["keep_doc"] for r in found) >= 12
 
 
+def kept_of(spark, texts):
+    """For each text of one line, the id of the text that stays of its group (its own if none was similar)."""
+    all_lines = lines.lines_of(frame(spark, texts))
+    found = all_lines.join(lines.line_groups(all_lines), "h").select("doc_id", "keep_doc").collect()
+    return {i: i for i in range(len(texts))} | {r["doc_id"]: r["keep_doc"] for r in found}
+
+
+def replaced(text, places):
+    w = text.split()
+    for k in places:
+        w[k] = "zzzz"
+    return " ".join(w)
+
+
+def test_line_links_reach_the_similarity(spark):
+    """One changed word of 10, 20 or 40, or four of 40, is found in 27 of 30 lines at least."""
+    rng = np.random.default_rng(7)
+    base = [prose(300 + k, n, 5000) for n in (10, 20, 40, 40) for k in range(30 * n, 30 * n + 30)]
+    base[90:] = [prose(9000 + k, 40, 5000) for k in range(30)]
+    changed = [replaced(t, rng.choice(len(t.split()), 4 if i >= 90 else 1, replace=False)) for i, t in enumerate(base)]
+    keep = kept_of(spark, base + changed)
+    for first in range(0, 120, 30):
+        assert sum(keep[120 + i] == i for i in range(first, first + 30)) >= 27
+    assert all(keep[i] == i for i in range(120))
+
+
 # --- 9 ---------------------------------------------------------------------------------------
 
 CONTROL_TEXT = st.lists(st.one_of(st.sampled_from([*chat.CONTROL, "\\", "\\l", "\n", "user", "<", "[", ""]), st.text(max_size=4)), max_size=8).map("".join)
