@@ -409,6 +409,13 @@ def test_line_links_reach_the_similarity(spark):
     assert all(keep[i] == i for i in range(120))
 
 
+def test_long_lines_are_compared(spark):
+    """Lines above 255 words, also ones of the next level of lengths, lose their near copies."""
+    a, b, c = prose(400, 300, 5000), prose(401, 1200, 5000), prose(402, 3000, 5000)
+    longer = c + " " + prose(403, 150, 5000)
+    assert kept_of(spark, [a, b, c, replaced(a, [150]), replaced(b, range(0, 1200, 60)), longer]) == {0: 0, 1: 1, 2: 2, 3: 0, 4: 1, 5: 2}
+
+
 # --- 9 ---------------------------------------------------------------------------------------
 
 CONTROL_TEXT = st.lists(st.one_of(st.sampled_from([*chat.CONTROL, "\\", "\\l", "\n", "user", "<", "[", ""]), st.text(max_size=4)), max_size=8).map("".join)
