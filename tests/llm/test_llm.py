@@ -416,6 +416,13 @@ def test_long_lines_are_compared(spark):
     assert kept_of(spark, [a, b, c, replaced(a, [150]), replaced(b, range(0, 1200, 60)), longer]) == {0: 0, 1: 1, 2: 2, 3: 0, 4: 1, 5: 2}
 
 
+def test_short_lines_go(spark):
+    """op8 and the pipeline keep one of equal or similar lines however short they are; blank lines stay."""
+    texts = ["short line\n\nok", "Short  LINE\n\nother words", "ok\nanother page of text", "another page of texts\nlast"]
+    got = {r["doc_id"]: r["text"] for r in lines.drop_lines(frame(spark, texts)).collect()}
+    assert got == {0: texts[0], 1: "\nother words", 2: "another page of text", 3: "last"}
+
+
 # --- 9 ---------------------------------------------------------------------------------------
 
 CONTROL_TEXT = st.lists(st.one_of(st.sampled_from([*chat.CONTROL, "\\", "\\l", "\n", "user", "<", "[", ""]), st.text(max_size=4)), max_size=8).map("".join)
