@@ -1,9 +1,11 @@
 """Language identification by cross-parsing against suffix automata.
 
 For each language a suffix automaton is built from labelled text. A text is parsed greedily into the
-longest phrases that occur in the training text; a language's score is its number of phrases for each
-symbol of the text, and the language with the fewest wins. The automata are tables (state, symbol) ->
-state, and a text is parsed in segments of ``SEGMENT`` symbols, all segments of a batch in step.
+longest phrases that occur in the training text. A language's score is its number of phrases for each
+symbol of the text, times what it costs to name a phrase: the logarithm of the training text's length, since
+a longer one has longer matches, and that of the number of symbols. The language with the least wins. The
+automata are tables (state, symbol) -> state for the most frequent letters and sorted arcs for all others, and
+a text is parsed in segments of ``SEGMENT`` symbols, all segments of a batch in step.
 
 The classifier is fitted on a bounded sample: ``SAMPLE_DOCS`` texts for each language, those with the
 smallest hash of their id, ``SAMPLE_CHARS`` characters of each.
@@ -24,6 +26,7 @@ from .core import arrow_limits, documents
 
 SAMPLE_DOCS = 48
 SAMPLE_CHARS = 1500
+#: Columns of the tables; letters beyond these have sorted arcs.
 SYMBOLS = 64
 SEGMENT = 512
 OTHER = SYMBOLS - 1
@@ -61,11 +64,8 @@ def fold(text: str) -> np.ndarray:
     return folded[keep]
 
 
-def suffix_automaton(symbols: np.ndarray, n_symbols: int = SYMBOLS) -> np.ndarray:
-    """Transitions (state, symbol) -> state of the suffix automaton of a sequence, -1 where there is none.
-
-    The last state has no transitions; the parse waits there after a symbol that the sequence lacks.
-    """
+def _arcs(symbols: np.ndarray) -> list[dict[int, int]]:
+    """The transitions of each state of the suffix automaton of a sequence."""
     size = 2 * len(symbols) + 1
     go: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
@@ -94,17 +94,46 @@ def suffix_automaton(symbols: np.ndarray, n_symbols: int = SYMBOLS) -> np.ndarra
                 link[q] = link[new] = clone
         last = new
     assert len(go) <= size
+    return go
+
+
+def _table(go: list[dict[int, int]], n_symbols: int) -> np.ndarray:
     table = np.full((len(go) + 1, n_symbols), -1, np.int32)
     for state, arcs in enumerate(go):
         for s, to in arcs.items():
-            table[state, s] = to
+            if s < n_symbols:
+                table[state, s] = to
     return table
 
 
-def phrase_counts(rows: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
+def suffix_automaton(symbols: np.ndarray, n_symbols: int = SYMBOLS) -> np.ndarray:
+    """Transitions (state, symbol) -> state of the suffix automaton of a sequence, -1 where there is none.
+
+    The last state has no transitions; the parse waits there after a symbol that the sequence lacks.
+    """
+    return _table(_arcs(symbols), n_symbols)
+
+
+class RareArcs:
+    """Transitions by the symbols from SYMBOLS on, as sorted pairs (state, symbol)."""
+
+    def __init__(self, go: list[dict[int, int]]):
+        arcs = sorted((state << 32 | s, to) for state, own in enumerate(go) for s, to in own.items() if s >= SYMBOLS)
+        self.keys = np.array([k for k, _ in arcs], np.int64)
+        self.to = np.array([t for _, t in arcs], np.int64)
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(state), -1, np.int64)
+        wanted = state << 32 | symbol
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return np.where(self.keys[at] == wanted, self.to[at], -1)
+
+
+def phrase_counts(rows: np.ndarray, lengths: np.ndarray, table: np.ndarray, rare: RareArcs | None = None) -> np.ndarray:
     """Greedy longest-match phrases of each row of symbols, its first ``lengths`` symbols, parsed in step.
 
-    Rows are ordered by falling length, so the rows still being parsed are always the first ones.
+    With ``rare``, symbols from SYMBOLS on are looked up there; the table's last column is theirs and empty. Rows are ordered by falling length, so the rows still being parsed are always the first ones.
     """
     n, width = rows.shape
     flat, columns = table.ravel(), np.ascontiguousarray(rows.T).astype(np.int64)
@@ -116,10 +145,18 @@ def phrase_counts(rows: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> n
         if not live:
             break
         symbol = columns[j, :live]
-        to = flat[state[:live] * table.shape[1] + symbol]
+        column = symbol if rare is None else np.minimum(symbol, OTHER)
+        to = flat[state[:live] * table.shape[1] + column]
+        seldom = np.flatnonzero(symbol >= SYMBOLS) if rare is not None else symbol[:0]
+        if len(seldom):
+            to[seldom] = rare.step(state[seldom], symbol[seldom])
         broken = np.flatnonzero(to < 0)
         phrases[broken] += 1 if j else 0
-        to[broken] = root[symbol[broken]]
+        to[broken] = root[column[broken]]
+        if len(seldom):
+            again = broken[symbol[broken] >= SYMBOLS]
+            start = rare.step(np.zeros(len(again), np.int64), symbol[again])
+            to[again] = np.where(start < 0, len(table) - 1, start)
         state[:live] = to
     return phrases
 
@@ -131,18 +168,17 @@ class CrossParser:
         folded = {k: [fold(t) for t in texts] for k, texts in sorted(training.items())}
         often = Counter(c for parts in folded.values() for p in parts for c in p.tolist())
         often.pop(0, None)
-        letters = [c for c, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))[: SYMBOLS - 2]]
-        self.symbol = np.full(0x110000, OTHER, np.uint8)
+        letters = [c for c, _ in sorted(often.items(), key=lambda x: (-x[1], x[0]))]
+        self.symbol = np.full(0x110000, OTHER, np.uint32)  # a letter that no training text has is a phrase of its own
         self.symbol[0] = 0
         for i, c in enumerate(letters):
-            self.symbol[c] = i + 1
+            self.symbol[c] = i + 1 if i + 1 < OTHER else i + 2
         self.languages = list(folded)
-        # Every language gets equally much text, since a longer one has longer matches.
         joined = {k: np.concatenate([x for p in parts for x in (p, [0])] or [[0]]).astype(np.int64) for k, parts in folded.items()}
-        least = max(1, min(map(len, joined.values()), default=1))
-        self.tables = [suffix_automaton(self.symbol[joined[k][:least]]) for k in self.languages]
-        for t in self.tables:  # a symbol that is not among the letters is a phrase of its own
-            t[:, OTHER] = -1
+        automata = [_arcs(self.symbol[joined[k]]) for k in self.languages]
+        self.tables = [_table(go, SYMBOLS) for go in automata]
+        self.rare = [RareArcs(go) for go in automata]
+        self.cost = [float(np.log(len(joined[k]) + 1) + np.log(len(letters) + 2)) for k in self.languages]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """A language and a score from 0 to 1 (how far the runner-up is behind) for each text."""
@@ -151,7 +187,7 @@ class CrossParser:
         rows: list[np.ndarray] = []
         owner: list[int] = []
         for i, t in enumerate(texts):
-            symbols = self.symbol[fold(t)] if t else np.zeros(0, np.uint8)
+            symbols = self.symbol[fold(t)] if t else np.zeros(0, np.uint32)
             if t and self.languages and (symbols != 0).any():
                 cut = [symbols[k : k + SEGMENT] for k in range(0, len(symbols), SEGMENT)]
                 rows += cut
@@ -160,12 +196,12 @@ class CrossParser:
             return out_lang, out_score
         lengths = np.array([len(r) for r in rows])
         order = np.argsort(-lengths, kind="stable")
-        table = np.zeros((len(rows), SEGMENT), np.uint8)
+        table = np.zeros((len(rows), SEGMENT), np.uint32)
         for at, k in enumerate(order):
             table[at, : lengths[k]] = rows[k]
         owners, lengths = np.array(owner)[order], lengths[order]
         totals = np.bincount(owners, weights=lengths, minlength=len(texts))
-        counts = np.stack([np.bincount(owners, weights=phrase_counts(table, lengths, t), minlength=len(texts)) for t in self.tables])
+        counts = np.stack([np.bincount(owners, weights=phrase_counts(table, lengths, t, r), minlength=len(texts)) * c for t, r, c in zip(self.tables, self.rare, self.cost, strict=True)])
         for i in np.flatnonzero(totals):
             rate = counts[:, i] / totals[i]
             best = int(np.argmin(rate))

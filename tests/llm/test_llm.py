@@ -225,6 +225,23 @@ def test_language_undecided(spark):
     assert langid.identify(frame(spark, ["x"]), {}).first()["lang_pred"] == "und"
 
 
+def language_texts(seed, first, n_letters, n):
+    """Texts of invented words over letters of their own frequencies."""
+    rng = np.random.default_rng(seed)
+    letters = [chr(first + k) for k in range(n_letters)]
+    words = ["".join(rng.choice(letters, rng.integers(2, 8))) for _ in range(300)]
+    return [" ".join(rng.choice(words, 150)) for _ in range(n)]
+
+
+def test_language_rare_ones_and_scripts():
+    """One short text of a language does not spoil the others, and each letter counts in large scripts."""
+    own = {"aa": language_texts(1, 97, 20, 24), "bb": language_texts(2, 97, 20, 24), "ja": language_texts(3, 0x4E00, 900, 24), "zh": language_texts(4, 0x4E00, 900, 24)}
+    training = {k: v[:16] for k, v in own.items()} | {"rare": ["abcdefghij klmnopqrs"]}
+    parser = langid.CrossParser(training)
+    for k, texts in own.items():
+        assert parser.predict([t[:200] for t in texts[16:]])[0] == [k] * 8
+
+
 def test_suffix_automaton_is_longest_match():
     rng = np.random.default_rng(3)
     text = rng.integers(0, 3, 60)
