@@ -22,9 +22,11 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -88,6 +90,14 @@ def stash(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def prefix_for(df: DataFrame) -> str:
+    """A prefix that no column of ``df`` begins with, for columns that are joined to it for a time."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def trim() -> None:
     """Gives memory that a Python worker has freed back to the system, since workers stay for later tasks."""
     pa.default_memory_pool().release_unused()
@@ -128,9 +138,6 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE_CODE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-
-
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a run of documents, as spans of one byte buffer.
 
@@ -168,7 +175,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """A 64-bit hash of each word."""
-        return span_hashes(_BYTE_CODE[self.data], self.starts, self.ends)
+        return byte_hashes(self.data, self.starts, self.ends)
 
     def windows(self, length: int) -> np.ndarray:
         """Indices of words at which a window of that many words of one document starts."""
@@ -180,8 +187,57 @@ class Words:
         return np.searchsorted(self.first, at, side="right") - 1
 
 
+#: Codes after which a span is hashed by itself and not together with others.
+LONG_SPAN = 512
+#: Codes of a window that one running sum may hash: patterns that cancel out modulo 2**64 need over a thousand.
+RUN = 64
+
+
+def _chained(n: np.ndarray, code: Callable[[int, np.ndarray], np.ndarray], whole: Callable[[int], bytes]) -> np.ndarray:
+    """Hashes of spans of ``n`` codes: each code is mixed into the state by a bijection, so no arithmetic pattern cancels out.
+
+    ``code(j, of)`` are the j-th codes of the spans ``of``; ``whole(i)`` are the bytes of a span longer than LONG_SPAN.
+    """
+    state = mix64(n.astype(np.uint64))
+    order = np.argsort(-n, kind="stable")
+    left = n[order]
+    tall = int(np.searchsorted(-left, -LONG_SPAN, side="left"))
+    for i in order[:tall].tolist():
+        state[i] = xxhash.xxh3_64_intdigest(whole(i))
+    order, left = order[tall:], left[tall:]
+    own = state[order]
+    for j in range(int(left[0]) if len(left) else 0):
+        live = int(np.searchsorted(-left, -j, side="left"))
+        own[:live] = mix64(own[:live] * np.uint64(_BASE) ^ code(j, order[:live]))
+    state[order] = own
+    return state
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes, eight bytes at a time."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    sizes = ends - starts
+
+    def code(j: int, of: np.ndarray) -> np.ndarray:
+        beyond = np.maximum(8 * (j + 1) - sizes[of], 0).astype(np.uint64)
+        return eight[starts[of] + 8 * j] & (np.uint64(_MASK) >> (beyond << np.uint64(3)))
+
+    mixed = _chained(-(-sizes // 8), code, lambda i: data[starts[i] : ends[i]].tobytes())
+    return mix64(mixed + sizes.astype(np.uint64) * np.uint64(_BASE))
+
+
+def sequence_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of 64-bit codes, of any length."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    return _chained(ends - starts, lambda j, of: codes[starts[of] + j], lambda i: codes[starts[i] : ends[i]].tobytes())
+
+
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of a sequence of 64-bit codes, from one running sum."""
+    """64-bit hashes of spans of at most RUN codes, from one running sum."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     up, down = _power_tables(len(codes))
@@ -193,16 +249,24 @@ def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 def window_hashes(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """64-bit hashes of the windows of ``length`` word hashes that start at ``at``."""
-    return span_hashes(words, at, at + length)
+    if length <= RUN:
+        return span_hashes(words, at, at + length)
+    parts = span_hashes(words, np.arange(len(words) - RUN + 1), np.arange(RUN, len(words) + 1)) if len(at) else at.astype(np.uint64)
+    state = mix64(np.full(len(at), length, np.uint64))
+    for j in [*range(0, length - RUN, RUN), length - RUN]:
+        state = mix64(state * np.uint64(_BASE) ^ parts[at + j])
+    return state
 
 
 #: Bytes of texts that may be broadcast.
 BROADCAST_BYTES = 64 << 20
 
 
-def small(df: DataFrame, rows: int, text: str | None = None) -> DataFrame:
-    """Marks a written table for broadcasting if it has at most so many rows and, where it carries texts, BROADCAST_BYTES of them; a larger one is joined by a shuffle."""
-    size = F.sum(F.octet_length(text)) if text else F.lit(0)
+def small(df: DataFrame, rows: int, payload: str | None = None) -> DataFrame:
+    """Marks a written table for broadcasting if it has at most so many rows and, where it carries texts or arrays of numbers, BROADCAST_BYTES of them; a larger one is joined by a shuffle."""
+    size = F.lit(0)
+    if payload:
+        size = F.sum(F.octet_length(payload) if df.schema[payload].dataType.typeName() == "string" else 8 * F.size(payload))
     n, held = df.agg(F.count("*"), size).first()
     return F.broadcast(df) if n <= rows and (held or 0) <= BROADCAST_BYTES else df
 
@@ -329,16 +393,16 @@ def keys_out(chunk: int, keys: np.ndarray, counts: np.ndarray, bits: int, wide:
     """Rows of KEYS for the sorted distinct keys of a chunk (already shortened) and their counts."""
     width = 64 if wide else 32 + bits
     bucket = (keys >> np.uint64(width - bits)).astype(np.int64)
-    edges = np.searchsorted(bucket, np.arange((1 << bits) + 1))
-    full = np.flatnonzero(np.diff(edges))
+    firsts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+    full, edges = bucket[firsts], np.append(firsts, len(bucket))
     body = keys if wide else (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     counts = np.minimum(counts, 255).astype(np.uint8)
     return pa.RecordBatch.from_pydict(
         {
             "bucket": pa.array(full.astype(np.int32)),
             "chunk": pa.array(np.full(len(full), chunk, np.int64)),
-            "keys": pa.array([body[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary()),
-            "counts": pa.array([counts[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary()),
+            "keys": pa.array([body[a:b].tobytes() for a, b in pairwise(edges)], pa.binary()),
+            "counts": pa.array([counts[a:b].tobytes() for a, b in pairwise(edges)], pa.binary()),
         }
     )
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import KEYS, Chunk, bucket_bits, chunk_corpus, components, documents, from_chunks, keys_out, over_chunks, repeated_keys, reply_keys, shorten, small, span_hashes, stash, total_words, trim, window_hashes
+from .core import KEYS, Chunk, bucket_bits, chunk_corpus, components, documents, from_chunks, keys_out, over_chunks, prefix_for, repeated_keys, reply_keys, sequence_hashes, shorten, small, stash, total_words, trim, window_hashes
 
 SIGNATURE_BITS = 1024
 FOLDED = 8
@@ -40,7 +40,7 @@ class ShingleSets:
         at = words.windows(size)
         keys, doc = window_hashes(hashes, at, size), words.documents_of(at)
         short = np.flatnonzero((counts > 0) & (counts < size))
-        keys = np.concatenate([keys, span_hashes(hashes, words.first[short], words.first[short + 1])])
+        keys = np.concatenate([keys, sequence_hashes(hashes, words.first[short], words.first[short + 1])])
         doc = np.concatenate([doc, short])
         order = np.lexsort((keys, doc))
         keys, doc = keys[order], doc[order]
@@ -207,9 +207,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns, without those linked to one with a smaller id; rows with equal ids share a fate."""
-    found = jaccard_components(docs, size, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct()
+    own = f"{prefix_for(docs)}id"
+    found = jaccard_components(docs, size, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(own)).distinct()
     gone = small(stash(found, "near-duplicates"), 1_000_000)
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    return docs.join(gone, F.col("doc_id").cast("long") == F.col(own), "left_anti")
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

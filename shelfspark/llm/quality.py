@@ -1,11 +1,12 @@
 """Quality rules: cross-document line frequency within hosts, beside per-document statistics.
 
 Each line is normalised (A-Z lower-cased, digits as 0, runs of white space as one) and hashed. For each
-host (the ``source`` column) the documents with different texts that have a line are counted. A line
-in more than ``max(LINE_DOCS, LINE_SHARE of the host's different texts)`` of them is boilerplate; it is
-removed everywhere but in the host's first document that has it, so no content vanishes altogether. A
-document that loses more than ``DEPLETED`` of its words that way is rejected, as is one that fails the
-base rules (too few words, too many repeated words).
+host (the ``source`` column) the distinct documents that have a line are counted; copies of a text are
+documents of their own. A line is boilerplate of its host if more than ``LINE_DOCS`` documents have it, or
+``LEAST_DOCS`` of them and more than ``LINE_SHARE`` of the host's documents, so small hosts have a limit too.
+It is removed from every document; with ``keep_first`` from all but the host's first one, by the order of
+doc_id, text and line. A document that loses more than ``DEPLETED`` of its words that way is rejected, as is
+one that fails the base rules (too few words, too many repeated words).
 
 Hashes have 64 bits; a collision could only make a rare line count as a frequent one.
 """
@@ -20,11 +21,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import _BYTE_CODE, Words, arrow_limits, documents, mix64, slices, small, span_hashes, stash, string_buffers, trim, window_hashes
+from .core import Words, arrow_limits, byte_hashes, documents, mix64, prefix_for, sequence_hashes, slices, small, stash, string_buffers, trim, window_hashes
 
-LINE_DOCS = 50
+LINE_DOCS = 1000
 LINE_SHARE = 0.05
-DEPLETED = 0.7
+LEAST_DOCS = 3
+DEPLETED = 0.3
 MIN_WORDS = 50
 #: Frequent lines up to this number go to every task; more are joined by a salted shuffle.
 BROADCAST_LINES = 500_000
@@ -61,13 +63,13 @@ def slice_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndar
     first_word, last_word = np.searchsorted(words.starts, starts), np.searchsorted(words.starts, ends)
     full = last_word > first_word
     starts, ends, doc, number, first_word, last_word = (x[full] for x in (starts, ends, doc, number, first_word, last_word))
-    exact = span_hashes(_BYTE_CODE[data], starts, ends)
+    exact = byte_hashes(data, starts, ends)
     order = np.lexsort((exact, doc))
     again = np.zeros(len(order), bool)
     again[1:] = (exact[order][1:] == exact[order][:-1]) & (doc[order][1:] == doc[order][:-1])
     line_edges = np.searchsorted(doc, np.arange(n_docs + 1))
     folded = Words(_FOLD[data], offsets)
-    normal = span_hashes(folded.hashes(), first_word, last_word)
+    normal = sequence_hashes(folded.hashes(), first_word, last_word)
     # Words in a 3-word window that the document has twice.
     at = words.windows(3)
     own = words.documents_of(at)
@@ -122,42 +124,53 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def frequent_lines(stats: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
-    """(host, line, first_row, docs) of the lines above the limits; copies of a text count once."""
-    texts = stats.groupBy("host", "text_hash").agg(F.min("row").alias("row"), F.first("lines").alias("lines"))
-    texts = texts.withColumn("lines", F.array_distinct("lines"))
-    sizes = texts.groupBy("host").agg(F.count("*").alias("texts"))
-    lines = texts.select("host", "row", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs"), F.min("row").alias("first_row"))
-    often = lines.where(F.col("docs") > line_docs).join(sizes, "host")
-    return stash(often.where(F.col("docs") > F.col("texts") * line_share).select("host", "line", "first_row", "docs"), "frequent-lines")
+    """(host, line, first, docs) of the lines above the limits; ``first`` is the host's first (doc_id, text_hash) with the line.
 
+    Rows with equal ids and texts are one document; rows without an id are documents of their own.
+    """
+    one = F.coalesce(F.col("doc_id"), F.lit(-1) - F.col("row"))
+    texts = stats.select("host", one.alias("doc_id"), "text_hash", "lines").dropDuplicates(["host", "doc_id", "text_hash"])
+    sizes = texts.groupBy("host").agg(F.count("*").alias("documents"))
+    lines = texts.select("host", "doc_id", "text_hash", F.explode(F.array_distinct("lines")).alias("line"))
+    counted = lines.groupBy("host", "line").agg(F.count("*").alias("docs"), F.min(F.struct("doc_id", "text_hash")).alias("first")).where(F.col("docs") >= min(LEAST_DOCS, line_docs + 1))
+    limit = F.least(F.lit(float(line_docs)), F.greatest(F.lit(LEAST_DOCS - 1.0), F.col("documents") * line_share))
+    often = counted.join(sizes, "host").where(F.col("docs") > limit)
+    return stash(often.select("host", "line", "first", "docs"), "frequent-lines")
 
-def verdicts(stats: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, depleted: float = DEPLETED) -> DataFrame:
+
+def verdicts(stats: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, depleted: float = DEPLETED, keep_first: bool = True) -> DataFrame:
     """``stats`` with base_failed, kept, n_removed_words and removed_at (numbers of the lines to remove)."""
     often = frequent_lines(stats, line_docs, line_share)
-    lines = stats.select("row", "host", F.explode(F.arrays_zip("lines", "line_words", "line_at")).alias("l")).select("row", "host", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"), F.col("l.line_at").alias("at"))
-    if often.count() <= BROADCAST_LINES:
+    one = F.coalesce(F.col("doc_id"), F.lit(-1) - F.col("row"))
+    lines = stats.select("row", "host", F.struct(one.alias("doc_id"), "text_hash").alias("own"), F.explode(F.arrays_zip("lines", "line_words", "line_at")).alias("l"))
+    lines = lines.select("row", "host", "own", F.col("l.lines").alias("line"), F.col("l.line_words").alias("words"), F.col("l.line_at").alias("at"))
+    if often.count() <= BROADCAST_LINES:  # rows of two hashes, a short name and an id
         found = lines.join(F.broadcast(often), ["host", "line"])
     else:  # a line that a third of the documents have is spread over the salts
         salted = often.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         found = lines.withColumn("salt", F.pmod(F.col("row"), F.lit(SALTS)).cast("int")).join(salted, ["host", "line", "salt"])
-    lost = found.where(F.col("row") != F.col("first_row")).groupBy("row").agg(F.sum("words").alias("n_removed_words"), F.sort_array(F.collect_list("at")).alias("removed_at"))
+    if keep_first:
+        found = found.where(F.col("own") != F.col("first"))
+    lost = found.groupBy("row").agg(F.sum("words").alias("n_removed_words"), F.sort_array(F.collect_list("at")).alias("removed_at"))
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     out = stats.drop("lines", "line_words", "line_at").join(lost, "row", "left").withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0)))
     return out.withColumn("base_failed", base).withColumn("kept", ~base & (F.col("n_removed_words") <= depleted * F.col("n_words")))
 
 
-def quality_filter(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE) -> DataFrame:
+def quality_filter(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, keep_first: bool = True) -> DataFrame:
     """The documents that are kept, all columns, with the removed lines gone from their texts. Repeated rows share a fate."""
-    found = verdicts(statistics(docs), line_docs, line_share)
-    changed = found.where(~F.col("kept") | (F.size("removed_at") > 0)).groupBy("doc_id", "host", "text_hash").agg(F.min("kept").alias("_kept"), F.min("removed_at").alias("_removed"))
-    changed = small(stash(changed.withColumnsRenamed({"doc_id": "_id", "host": "_host", "text_hash": "_hash"}), "verdicts"), BROADCAST_LINES)
+    p = prefix_for(docs)
+    found = verdicts(statistics(docs), line_docs, line_share, keep_first=keep_first)
+    changed = found.where(~F.col("kept") | (F.size("removed_at") > 0)).groupBy("doc_id", "host", "text_hash").agg(F.min("kept").alias(f"{p}kept"), F.min("removed_at").alias(f"{p}removed"))
+    changed = small(stash(changed.withColumnsRenamed({"doc_id": f"{p}id", "host": f"{p}host", "text_hash": f"{p}hash"}), "verdicts"), BROADCAST_LINES, f"{p}removed")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col("_host")) & (F.xxhash64(text) == F.col("_hash"))
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("_removed"), i)), "\n")
-    joined = docs.join(changed, same, "left").where(F.coalesce("_kept", F.lit(True)))
-    return joined.withColumn("text", F.when(F.size("_removed") > 0, left).otherwise(F.col("text"))).select(docs.columns)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{p}id")) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col(f"{p}host")) & (F.xxhash64(text) == F.col(f"{p}hash"))
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(f"{p}removed"), i)), "\n")
+    joined = docs.join(changed, same, "left").where(F.coalesce(f"{p}kept", F.lit(True)))
+    return joined.withColumn("text", F.when(F.size(f"{p}removed") > 0, left).otherwise(F.col("text"))).select(docs.columns)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = verdicts(statistics(documents(spark, sf_dir)))
+    """The base statistics and the verdict for every document; ``n_removed_words`` are the words of its removed lines."""
+    found = verdicts(statistics(documents(spark, sf_dir)), keep_first=False)
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
