@@ -2,18 +2,19 @@
 
 A document is cut into full pieces of the sequence length and a remainder. Only the histogram of
 remainder lengths (one count for each length) comes to the driver. Lengths are placed longest first:
-each goes into the open packs with the least room left that still holds it, whole groups of equal
-packs at a time, so the work depends on the number of distinct patterns and not of documents.
+each piece goes into the shortest open pack, the one with the most room, and opens a new one if it
+does not fit there. Equal packs are one pattern with a count and are filled together, so the work
+depends on the number of distinct patterns and not of documents.
 The patterns then become slots (length, ranks from-to, first sequence, offset), and a piece finds its
 sequence by its rank among the pieces of its length. Ranks are counted within salted parts of each
-length, so a length that most documents share is spread over many tasks.
+length, as many as its pieces need, so a length that most documents share is spread over many tasks.
 """
 
 from __future__ import annotations
 
 import base64
 import zlib
-from bisect import bisect_left, insort
+from bisect import insort
 from collections.abc import Iterator
 from struct import pack as packed
 
@@ -30,7 +31,10 @@ from .core import arrow_limits, documents, stash
 
 VOCABULARY = "byte_bpe_50k.json"
 SEQUENCE = 1024
-SALTS = 256
+#: Pieces of one length that are ranked in one task.
+RANKED_TOGETHER = 100_000
+#: Rows of slots that may be broadcast; each has five numbers.
+BROADCAST_SLOTS = 200_000
 CACHE_WORDS = 250_000
 _UNSETTLED = regex.compile("[̀-\U0010ffff]")
 
@@ -107,49 +111,37 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
 
 
 def pack_histogram(histogram: dict[int, int], room: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths in one pack, in order) and how many packs have each, from counts of lengths below ``room``."""
-    groups: dict[int, list[list]] = {}  # room left -> [[pattern, count], ...]
+    """Patterns (lengths in one pack, in order) and how many packs have each, from counts of lengths below ``room``.
+
+    Each length goes, longest first, into the open pack with the most room, of equal ones into that with the least
+    pattern; if it does not fit there it fits nowhere and opens a pack.
+    """
+    groups: dict[int, dict[tuple[int, ...], int]] = {}  # room left -> {pattern: count}
     rooms: list[int] = []  # the sorted keys of groups
 
     def put(pattern: tuple[int, ...], count: int, left: int) -> None:
         if left not in groups:
-            groups[left] = []
+            groups[left] = {}
             insort(rooms, left)
-        groups[left].append([pattern, count])
+        groups[left][pattern] = groups[left].get(pattern, 0) + count
 
     for length in sorted((k for k, n in histogram.items() if n), reverse=True):
         todo = histogram[length]
-        # As many as fit of this length in each open pack, tightest packs first; what is made now is not filled twice.
-        made: list[tuple[tuple[int, ...], int, int]] = []
-        while todo:
-            at = bisect_left(rooms, length)
-            if at == len(rooms):
-                each = room // length
-                full, rest = divmod(todo, each)
-                if full:
-                    made.append(((length,) * each, full, room - each * length))
-                if rest:
-                    made.append(((length,) * rest, 1, room - rest * length))
-                break
-            left = rooms[at]
-            pattern, count = groups[left].pop()
-            if not groups[left]:
-                del groups[left]
-                rooms.pop(at)
-            each = left // length
-            used = min(count, todo // each)
-            if used:
-                made.append((pattern + (length,) * each, used, left - each * length))
-                todo -= used * each
-                count -= used
-            if count and todo and todo < each:
-                made.append((pattern + (length,) * todo, 1, left - todo * length))
-                todo, count = 0, count - 1
-            if count:
-                put(pattern, count, left)
-        for pattern, count, left in made:
-            put(pattern, count, left)
-    return [(p, c) for left in sorted(groups) for p, c in groups[left]]
+        while todo and rooms and rooms[-1] >= length:
+            left = rooms.pop()  # of all these packs none gets this length twice before each has it once
+            for pattern, count in sorted(groups.pop(left).items()):
+                used = min(count, todo)
+                todo -= used
+                if used:
+                    put(pattern + (length,), used, left - length)
+                if count > used:
+                    put(pattern, count - used, left)
+        each = room // length  # a new pack has the most room until it is full
+        full, rest = divmod(todo, each)
+        for count, n in ((each, full), (rest, 1)):
+            if count and n:
+                put((length,) * count, n, room - count * length)
+    return [(p, c) for left in sorted(groups) for p, c in sorted(groups[left].items())]
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
@@ -166,15 +158,16 @@ def slots(patterns: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, i
     return out
 
 
-def _ranked(parts: DataFrame) -> DataFrame:
+def _ranked(parts: DataFrame, histogram: dict[int, int], length: int) -> DataFrame:
     """Adds ``rank`` from 0 within each length, by salt and then by document."""
-    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
+    salts = F.array(*(F.lit(1 + histogram.get(k, 0) // RANKED_TOGETHER) for k in range(length + 1)))
+    salted = parts.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.get(salts, F.col("length").cast("int"))).cast("int"))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    sizes = sizes.select("length", "salt", before.alias("before"))  # at most ``length`` times SALTS rows
+    sizes = sizes.select("length", "salt", before.alias("before"))
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     numbered = salted.withColumn("at", F.row_number().over(within) - 1)
-    return numbered.join(F.broadcast(sizes), ["length", "salt"]).withColumn("rank", F.col("before") + F.col("at")).drop("salt", "at", "before")
+    return numbered.join(sizes, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("at")).drop("salt", "at", "before")
 
 
 def pack(parts: DataFrame, length: int = SEQUENCE) -> DataFrame:
@@ -184,18 +177,19 @@ def pack(parts: DataFrame, length: int = SEQUENCE) -> DataFrame:
     """
     spark = parts.sparkSession
     parts = stash(parts, "pieces")
-    histogram = {int(r["length"]): int(r["n"]) for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    full = histogram.pop(length, 0)
-    table = slots(pack_histogram(histogram, length))
+    histogram = {int(r["length"]): int(r["n"]) for r in parts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # ``length`` rows at most
+    full = histogram.get(length, 0)
+    table = slots(pack_histogram({k: n for k, n in histogram.items() if k < length}, length))
     if full:
         first = max((s + hi - lo for _, lo, hi, s, _ in table), default=0)
         table.append((length, 0, full, first, 0))
-    # At most a few slots for each length and pattern: bounded by the sequence length, not by the corpus.
-    placed = F.broadcast(spark.createDataFrame(table, "p_length long, lo long, hi long, first long, offset long"))
+    placed = spark.createDataFrame(table, "p_length long, lo long, hi long, first long, offset long")
+    placed = F.broadcast(placed) if len(table) <= BROADCAST_SLOTS else placed
     found = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
-    ranked = _ranked(parts)
+    ranked = _ranked(parts, histogram, length)
     return ranked.join(placed, found).select(*parts.columns, (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), F.col("offset").cast("long").alias("offset"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each piece of every document, with its sequence and its offset there."""
     return pack(pieces(documents(spark, sf_dir)))
