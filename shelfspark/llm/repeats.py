@@ -204,14 +204,18 @@ def _contexts(chunk: Chunk, words: Words, hashes: np.ndarray, found: Suffixes, h
         yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in CONTEXTS.split(", ")])
 
 
-def _matches(heads: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(repeated, first), shaped as ``own``: which passages occur again, and which of them is the first of its kind in the given order."""
-    n, width = own.shape
+def _matches(heads: np.ndarray, right: np.ndarray, left: np.ndarray, owned: np.ndarray, counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(repeated, first), shaped as ``owned``: which passages occur again, and which of them is the first of its kind in the given order."""
+    n, width = owned.shape
     repeated, first = np.zeros((n, width), bool), np.zeros((n, width), bool)
     rows = np.concatenate([heads.astype(">u8").view(np.uint8).reshape(n, 8), np.ascontiguousarray(right).view(np.uint8).reshape(n, -1)], axis=1)
     order = np.argsort(np.ascontiguousarray(rows).view(f"V{rows.shape[1]}").ravel(), kind="stable")
-    same = right[order[1:]] == right[order[:-1]]
-    common = np.where(same.all(axis=1), length, same.argmin(axis=1)) if n > 1 else np.zeros(0, np.int64)
+    del rows
+    common = np.zeros(n - 1, np.int64)
+    for at in range(0, n - 1, 1 << 15):
+        own = right[order[at : at + (1 << 15) + 1]]
+        same = own[1:] == own[:-1]
+        common[at : at + len(same)] = np.where(same.all(axis=1), length, same.argmin(axis=1))
     common = np.where(heads[order[1:]] == heads[order[:-1]], common, -1)
     before = np.zeros(n, np.uint64)
     for l in range(width):
@@ -219,7 +223,7 @@ def _matches(heads: np.ndarray, right: np.ndarray, left: np.ndarray, own: np.nda
             before = mix64(before * np.uint64(0x9E3779B97F4A7C15) ^ left[:, l - 1].astype(np.uint64))
         interval = np.zeros(n, np.uint64)
         interval[order] = np.concatenate([[0], np.cumsum(common < length - l)]).astype(np.uint64)
-        at = np.flatnonzero(own[:, l])
+        at = np.flatnonzero(owned[:, l])
         if not len(at):
             continue
         _, lead, group = np.unique(mix64(interval[at] + np.uint64(1)) ^ before[at], return_index=True, return_inverse=True)
