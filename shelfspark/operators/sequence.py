@@ -11,9 +11,10 @@ from __future__ import annotations
 from bisect import bisect_right
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import sort_key
 from ..plans.catalog import DUCK, SPARK, VIEWS
 
 
@@ -37,7 +38,7 @@ def kept_in_order(keys: list) -> list[bool]:
 
 def judge(rows: DataFrame, key: str = "key", group: tuple[str, ...] = ("scan", "band"), order: str = "pos") -> DataFrame:
     """Adds ``misplaced``; rows with a null key (unread) are not judged and get null. Bands go to Python as arrays, many to a batch."""
-    bands = rows.groupBy(*(F.col(g).alias(f"_{g}") for g in group)).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_at"), F.struct(*rows.columns).alias("row")))).alias("rows"))
+    bands = rows.groupBy(*(F.col(g).alias(f"_{g}") for g in group)).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("_at"), F.struct(*rows.columns).alias("row")))).alias("rows"))  # a band is a shelf's length
 
     @F.pandas_udf("array<boolean>")
     def outside(keys: pd.Series) -> pd.Series:
@@ -68,38 +69,54 @@ def assign(candidates: list[list[int]], uses: int = 2) -> int:
     return max(best.values())
 
 
-def spike(before: float | None, here: float, after: float | None) -> bool:
-    return before is not None and after is not None and here < before - 1 and here < after - 1 and before <= after
+def placed(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds ``place`` (long, from 1) by the unique keys, without bringing all rows to one task.
+
+    A range-partitioned sort numbers the rows of each partition; the partitions' counts, one number each, shift them.
+    """
+    part = rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
+    part = part.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)).cast("long"))
+    counts = part.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    shifts = F.broadcast(counts.select("_part", before.alias("_before")))  # a row for each partition
+    return part.join(shifts, "_part").withColumn("place", F.col("_before") + F.col("_row")).drop("_part", "_row", "_before", "_n")
+
+
+def ranked_keys(rows: DataFrame) -> DataFrame:
+    """(key, first, last): for each distinct key the first and last place of its rows in the order of keys."""
+    counts = placed(rows.groupBy("key").agg(F.count("*").alias("n")), ["key"])
+    part = counts.repartitionByRange("place").withColumn("_part", F.spark_partition_id())
+    part = part.withColumn("_sum", F.sum("n").over(Window.partitionBy("_part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
+    totals = part.groupBy("_part").agg(F.sum("n").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    last = F.col("_before") + F.col("_sum")
+    return part.join(F.broadcast(totals.select("_part", before.alias("_before"))), "_part").select("key", (last - F.col("n") + 1).alias("first"), last.alias("last"))
 
 
 _KEYED = "SELECT s.scan, s.band, s.pos, s.call, cast(r.place AS bigint) AS key FROM spine s JOIN ranked r ON r.ord = s.ord WHERE s.how = 'direct'"
 
 
-def _with_views(dialect, body: str) -> str:
-    used = ("catalog", "spine", "ranked")
+def _with_views(dialect, body: str, used: tuple[str, ...] = ("catalog", "spine", "ranked")) -> str:
     return "WITH " + ", ".join(f"{v} AS ({VIEWS[v](dialect)})" for v in used) + " " + body
 
 
-def misplaced_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+def judged_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(scan, band, pos, call, key, misplaced) of directly read books, ``key`` being the sort key of their call and then the catalog's order."""
     for t in ("part", "lineitem"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    judged = judge(spark.sql(_with_views(SPARK, _KEYED)))
-    return judged.where("misplaced").select("scan", "band", "pos", "call")
+    rows = spark.sql(_with_views(SPARK, "SELECT scan, band, pos, call, ord FROM spine WHERE how = 'direct'", ("catalog", "spine")))
+    places = placed(spark.sql(_with_views(SPARK, "SELECT ord, call FROM catalog", ("catalog",))).withColumn("key", sort_key("call")), ["key", "ord"])
+    return judge(rows.join(places.select("ord", F.col("place").alias("key")), "ord").drop("ord"))
 
 
-def order_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Longest ordered run of each band, by higher-order functions alone: no Python."""
-    for t in ("part", "lineitem"):
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    rows = spark.sql(_with_views(SPARK, _KEYED)).groupBy("scan", "band").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "key"))), lambda x: x["key"]).alias("keys"))
-    start = F.array().cast("array<struct<k:bigint,n:int>>")
+def misplaced_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_books(spark, sf_dir).where("misplaced").select("scan", "band", "pos", "call")
 
-    def add(done, k):
-        fits = F.transform(F.filter(done, lambda d: d["k"] <= k), lambda d: d["n"])
-        return F.concat(done, F.array(F.struct(k.alias("k"), (F.coalesce(F.array_max(fits), F.lit(0)) + 1).alias("n"))))
 
-    lengths = F.transform(F.aggregate("keys", start, add), lambda d: d["n"])
-    return rows.select("scan", "band", F.size("keys").cast("bigint").alias("books"), F.array_max(lengths).cast("bigint").alias("ordered"))
+def order_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest ordered run of each band."""
+    judged = judged_books(spark, sf_dir)
+    return judged.groupBy("scan", "band").agg(F.count("*").alias("books"), F.count_if(~F.col("misplaced")).alias("ordered"))
 
 
 _CHAINS = """

@@ -48,6 +48,22 @@ VIEWS: dict[str, Callable[[Dialect], str]] = {
                      CASE WHEN p_size % 5 = 0 THEN 1 + p_size % 4 ELSE 0 END AS vol, p_name || ' : ' || p_type AS title,
                      CASE WHEN (p_partkey * 7) % 11 < 3 THEN 'loan' ELSE 'shelf' END AS status, '978' || lpad(cast(p_partkey AS string), 10, '0') AS isbn13
               FROM part) p""",
+    "holdings": lambda d: """
+        SELECT ord, cls, mark, vol, title, status, isbn13, cls || '-' || mark || CASE WHEN vol > 0 THEN '-v.' || cast(vol AS string) ELSE '' END || CASE WHEN ord % 13 = 0 THEN '=2' WHEN ord % 17 = 0 THEN ' c.3' ELSE '' END AS call
+        FROM (SELECT p_partkey AS ord, lpad(cast((p_partkey % 97) * 10 AS string), 3, '0') || CASE WHEN p_size % 3 = 0 THEN '.' || cast(p_size % 4 AS string) ELSE '' END AS cls,
+                     substr('가ㄴ나다라', cast(p_partkey % 5 AS int) + 1, 1) || CASE WHEN p_partkey % 4 = 0 THEN cast(100 + p_partkey % 900 AS string) ELSE cast(10 + (p_partkey * 7) % 80 AS string) END || substr('ㄱㄴㅇ', cast(p_partkey % 3 AS int) + 1, 1) AS mark,
+                     CASE WHEN p_size % 5 = 0 THEN 1 + p_size % 12 ELSE 0 END AS vol, p_name || ' : ' || p_type AS title, CASE WHEN (p_partkey * 7) % 11 < 3 THEN 'loan' ELSE 'shelf' END AS status, '978' || lpad(cast(p_partkey AS string), 10, '0') AS isbn13
+              FROM part) p""",
+    "asked": lambda d: """
+        SELECT l_orderkey AS scan, l_linenumber AS line, l_partkey AS ord, l_suppkey AS supp, call AS truth, title,
+               CASE (l_orderkey + l_partkey) % 11 WHEN 0 THEN cls || ' ' || mark WHEN 1 THEN cls || ' v.' || cast(vol AS string) || ' ' || mark WHEN 2 THEN cls || ' ' || substr(mark, 1, cast(length(mark) - 1 AS int)) || '0'
+               WHEN 3 THEN cls || ' 바' || substr(mark, 2) WHEN 4 THEN mark WHEN 5 THEN '9' || substr(cls, 2) || '9 ' || mark WHEN 6 THEN cls || ' ' || substr(mark, 1, 1) || substr(mark, 3) WHEN 7 THEN 'xx ' || cls
+               WHEN 8 THEN cls || ' ' || mark || ' v.' || cast(vol AS string) WHEN 9 THEN '999.9 ' || mark || ' ' || cls || ' ' || mark ELSE 'noise' END AS read
+        FROM lineitem JOIN holdings ON ord = l_partkey""",
+    "detections": lambda d: """
+        SELECT l_orderkey AS scan, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, cast(l_partkey % 400 AS double) AS x0, cast(20 * (l_suppkey % 5) AS double) AS y0,
+               cast(l_partkey % 400 + 20 + l_suppkey % 20 AS double) AS x1, cast(20 * (l_suppkey % 5) + 30 + l_partkey % 25 AS double) AS y1, l_discount * 10 AS conf, CASE WHEN l_returnflag = 'A' THEN cast(l_partkey % 40 AS string) END AS call, l_returnflag AS flag, l_partkey AS part
+        FROM lineitem""",
     "calls": lambda d: "SELECT call, min(ord) AS ord, min(cls) AS cls, min(author) AS author, count(*) AS copies FROM catalog GROUP BY call",
     "spine": lambda d: """
         SELECT l.l_orderkey AS scan, l.l_suppkey % 2 AS band, l.pos, 40.0 * l.pos AS x0, 40.0 * l.pos + 30.0 AS x1, c.cls, c.author, c.call, c.title, c.ord, c.cls_num, c.cutter, c.tail, c.vol, c.status,
@@ -69,7 +85,7 @@ VIEWS: dict[str, Callable[[Dialect], str]] = {
     "truth": lambda d: "SELECT DISTINCT call FROM votes WHERE video = 0",
     "popular": lambda d: "SELECT p.isbn13, p.title, cast(sum(l_quantity) AS bigint) AS loans FROM lineitem JOIN catalog p ON p.ord = l_partkey GROUP BY p.isbn13, p.title",
     "answers": lambda d: "SELECT user_id AS id, event_id AS seen_at, event_type AS answer FROM events",
-    "ranked": lambda d: f"SELECT *, row_number() OVER (ORDER BY {KEY}, ord) AS place FROM catalog",
+    "ranked": lambda d: f"SELECT *, row_number() OVER (ORDER BY {KEY}, ord) AS place FROM catalog",  # for oracles; Spark numbers places by range partitions
     "features": lambda d: """
         SELECT sec, count(*) AS n, avg(loan) AS loan_rate, avg(series) AS series_rate, coalesce(avg(crowd), 0) AS crowd_rate
         FROM (SELECT cast(floor(cls_num) AS int) AS sec, CASE WHEN status <> 'shelf' THEN 1.0 ELSE 0.0 END AS loan,
@@ -82,11 +98,8 @@ VIEWS: dict[str, Callable[[Dialect], str]] = {
                      (series_rate - avg(series_rate) OVER ()) / coalesce(nullif(stddev_pop(series_rate) OVER (), 0), 1) AS z_series,
                      (crowd_rate - avg(crowd_rate) OVER ()) / coalesce(nullif(stddev_pop(crowd_rate) OVER (), 0), 1) AS z_crowd FROM features) x""",
     "boxes": lambda d: "SELECT scan, pos, band, x0, x0 + 30.0 AS x1, 100.0 * band + (supp % 7) AS y0, 100.0 * band + (supp % 7) + 60.0 AS y1, how, call, score FROM spine",
-    "tokens": lambda d: "SELECT scan, pos AS token, x0 + 15.0 + 400.0 * (jitter - 0.04) AS x, call AS text FROM spine WHERE pos % 2 = 0",
+    "tokens": lambda d: "SELECT scan, pos AS token, x0 + 15.0 + 400.0 * (jitter - 0.04) AS x, call AS text FROM spine",
     "frames": lambda d: "SELECT video, frame, call, count(*) AS seen FROM votes GROUP BY video, frame, call",
-    "neighbours": lambda d: f"""
-        SELECT *, lag(place) OVER w AS before, lead(place) OVER w AS after
-        FROM (SELECT s.scan, s.band, s.pos, s.call, r.place FROM confirmed s JOIN ranked r ON r.ord = s.ord) x WINDOW w AS (PARTITION BY scan, band ORDER BY pos)""",
 }
 
 NORM = "[ _/.-]"
@@ -97,48 +110,31 @@ SQL: dict[str, Callable[[Dialect], str]] = {
     "norm_text": lambda d: f"SELECT ord, lower({d.replace('call', NORM, '')}) AS norm, {d.replace('lower(title)', '[^0-9a-z가-힣]', '')} AS norm_title, {d.replace('call', '[^0-9A-Za-z가-힣ㄱ-ㅎ.]', '')} AS mark_text FROM catalog",
     "call_parse": lambda d: f"SELECT ord, {d.number(d.extract('call', '^[0-9]{1,3}([.][0-9]+)?'))} AS class_num, {d.extract('call', '-([가-힣ㄱ-ㅎ][0-9가-힣ㄱ-ㅎ]*)', 1)} AS author_mark, coalesce(try_cast(nullif({d.extract('call', 'v[.]([0-9]+)$', 1)}, '') AS int), 0) AS volume FROM catalog",
     "copy_suffix": lambda d: f"SELECT ord, {d.replace(f'''call || CASE ord % 3 WHEN 0 THEN '=2' WHEN 1 THEN ' c.3' ELSE '' END''', '( *[cC][.]|=)[0-9]+$', '')} AS call FROM catalog",
-    "jamo_repair": lambda d: "SELECT scan, pos, mark, substr(mark, 1, length(mark) - 1) || CASE substr(mark, length(mark), 1) WHEN '0' THEN 'ㅇ' WHEN 'O' THEN 'ㅇ' WHEN 'o' THEN 'ㅇ' ELSE substr(mark, length(mark), 1) END AS repaired FROM parsed WHERE mark <> ''",
     "volume_token": lambda d: f"SELECT scan, pos, {d.replace('read', '[vV][.]?[0-9]+', ' ')} AS without, try_cast(nullif({d.extract('read', '[vV][.]?([0-9]+)', 1)}, '') AS int) AS volume FROM readings",
     "isbn_norm": lambda d: f"SELECT ord, CASE WHEN length({d.replace('raw', '[^0-9]', '')}) = 13 THEN {d.replace('raw', '[^0-9]', '')} END AS isbn FROM (SELECT ord, CASE WHEN ord % 4 = 0 THEN substr(isbn13, 1, 10) ELSE substr(isbn13, 1, 3) || '-' || substr(isbn13, 4, 10) END AS raw FROM catalog) x",
     "section_of": lambda d: f"SELECT ord, CASE WHEN {d.extract('cls', '^[0-9]{3}')} <> '' THEN substr(cls, 1, 1) || '00' ELSE 'other' END AS section FROM catalog",
-    "html_clean": lambda d: f"SELECT page_id, trim({d.replace(d.replace('html', '<[^>]*>', ' '), '[ ]+', ' ')}) AS plain FROM pages",
     "shelf_sorted": lambda d: f"SELECT ord, call, row_number() OVER (PARTITION BY cls ORDER BY {KEY}, ord) AS place FROM catalog",
     # similarity
     "edit_distance_suggest": lambda d: "SELECT scan, pos, mark, author, dist FROM (SELECT x.*, row_number() OVER (PARTITION BY scan, pos ORDER BY dist, author) AS rn FROM (SELECT DISTINCT p.scan, p.pos, p.mark, c.author, levenshtein(translate(p.mark, '가나다라ㄱㄴㄷㅇ', 'abcdefgh'), translate(c.author, '가나다라ㄱㄴㄷㅇ', 'abcdefgh')) AS dist FROM parsed p JOIN calls c ON c.cls = p.cls WHERE p.mark <> '') x WHERE dist <= 2) y WHERE rn <= 3",
     # filters and gates
-    "confidence_gate": lambda d: "SELECT scan, pos, CASE WHEN score < 0.95 OR how = 'none' THEN 'unreadable' ELSE 'ok' END AS gate FROM spine",
     "status_filter": lambda d: "SELECT ord, call, status FROM catalog WHERE status = 'shelf' AND trim(call) <> ''",
-    "direct_only": lambda d: "SELECT scan, band, pos, call, mis FROM flags WHERE how = 'direct'",
-    "ambiguity_gate": lambda d: "SELECT scan, best, second FROM (SELECT scan, score AS best, lead(score) OVER (PARTITION BY scan ORDER BY score DESC, pos) AS second, row_number() OVER (PARTITION BY scan ORDER BY score DESC, pos) AS rn FROM spine) x WHERE rn = 1 AND (best >= 0.99 OR coalesce(best - second, 1) >= 0.02)",
     "spike_filter": lambda d: "SELECT scan, band, pos FROM (SELECT *, lag(cls_num) OVER w AS b, lead(cls_num) OVER w AS a FROM confirmed WINDOW w AS (PARTITION BY scan, band ORDER BY pos)) x WHERE cls_num < b - 1 AND cls_num < a - 1 AND b <= a",
-    "frame_class": lambda d: "SELECT scan, count(*) AS slots, round(avg(CASE WHEN how = 'direct' THEN 1.0 ELSE 0.0 END), 6) AS rate FROM spine GROUP BY scan HAVING avg(CASE WHEN how = 'direct' THEN 1.0 ELSE 0.0 END) >= 0.6",
     "row_context_gate": lambda d: "SELECT scan, band, pos FROM (SELECT *, min(CASE WHEN how = 'direct' THEN cls_num END) OVER (PARTITION BY scan, band) AS lo, max(CASE WHEN how = 'direct' THEN cls_num END) OVER (PARTITION BY scan, band) AS hi FROM confirmed) x WHERE how = 'direct' OR lo IS NULL OR cls_num BETWEEN lo - 10 AND hi + 10",
     # joins
-    "misplaced_list": lambda d: "SELECT p.day, p.device, f.scan, f.pos, f.call FROM flags f JOIN photos p ON p.id = f.scan WHERE f.mis = 1",
-    "sessions_with_flags": lambda d: "SELECT p.id, p.day, m.mis FROM photos p LEFT JOIN (SELECT scan, cast(sum(mis) AS bigint) AS mis FROM flags GROUP BY scan) m ON m.scan = p.id",
     "popular_owned": lambda d: "SELECT c.ord, c.call, p.loans FROM popular p JOIN catalog c ON c.isbn13 = p.isbn13",
     "recommend_owned": lambda d: "SELECT DISTINCT item, c.call FROM (SELECT l_orderkey AS item, '978' || lpad(cast(l_partkey AS string), 10, '0') AS isbn FROM lineitem) l JOIN catalog c ON c.isbn13 = l.isbn",
     "match_exact": lambda d: "SELECT p.scan, p.pos, c.call FROM parsed p JOIN calls c ON c.cls = p.cls AND c.author = p.mark",
     "match_variant": lambda d: "SELECT DISTINCT p.scan, p.pos, c.call FROM (SELECT scan, pos, cls, mark FROM parsed UNION ALL SELECT scan, pos, cls, substr(mark, 1, length(mark) - 1) || 'ㄱ' FROM parsed WHERE mark <> '') p JOIN calls c ON c.cls = p.cls AND c.author = p.mark",
     "match_first_char": lambda d: "SELECT p.scan, p.pos, min(c.author) AS author FROM parsed p JOIN calls c ON c.cls = p.cls AND length(c.author) = length(p.mark) AND substr(c.author, 2) = substr(p.mark, 2) AND substr(c.author, 1, 1) <> substr(p.mark, 1, 1) WHERE p.mark <> '' GROUP BY p.scan, p.pos HAVING count(DISTINCT c.author) = 1",
-    "match_author_only": lambda d: "SELECT p.scan, p.pos, u.call FROM parsed p JOIN (SELECT author, min(call) AS call FROM calls GROUP BY author HAVING count(*) = 1) u ON u.author = p.mark WHERE p.cls = ''",
-    "containment_unique": lambda d: f"SELECT p.scan, p.pos, min(c.call) AS call FROM (SELECT scan, pos, cls, {d.replace('read', '[^0-9가-힣ㄱ-ㅎ.]', '')} AS plain FROM parsed) p JOIN calls c ON c.cls = p.cls AND contains(p.plain, c.cls || c.author) GROUP BY p.scan, p.pos HAVING count(*) = 1",
-    "prefix_unique": lambda d: "SELECT p.scan, p.pos, min(c.call) AS call FROM parsed p JOIN calls c ON c.cls = p.cls AND substr(c.author, 1, 3) = substr(p.mark, 1, 3) WHERE p.mark <> '' GROUP BY p.scan, p.pos HAVING count(*) = 1",
     "nearest_box": lambda d: "SELECT scan, token, pos, round(dist, 6) AS dist FROM (SELECT t.scan, t.token, b.pos, abs(t.x - (b.x0 + b.x1) / 2) AS dist, row_number() OVER (PARTITION BY t.scan, t.token ORDER BY round(abs(t.x - (b.x0 + b.x1) / 2), 6), b.pos) AS rn FROM tokens t JOIN boxes b ON b.scan = t.scan) x WHERE rn = 1 AND dist <= 60",
     "point_in_interval": lambda d: "SELECT t.scan, t.token, min(b.pos) AS pos FROM tokens t JOIN boxes b ON b.scan = t.scan AND t.x BETWEEN b.x0 AND b.x1 GROUP BY t.scan, t.token",
     "max_overlap": lambda d: "SELECT scan, a, b FROM (SELECT l.scan, l.pos AS a, r.pos AS b, row_number() OVER (PARTITION BY l.scan, l.pos ORDER BY least(l.x1 + 25, r.x1) - greatest(l.x0 + 25, r.x0) DESC, r.pos) AS rn FROM boxes l JOIN boxes r ON r.scan = l.scan AND r.pos <> l.pos AND least(l.x1 + 25, r.x1) > greatest(l.x0 + 25, r.x0)) x WHERE rn = 1",
     "iou_hits": lambda d: "SELECT scan, a, b, round(i / (w - i), 6) AS iou FROM (SELECT l.scan, l.pos AS a, r.pos AS b, (least(l.x1 + 12, r.x1) - greatest(l.x0 + 12, r.x0)) * (least(l.y1, r.y1) - greatest(l.y0, r.y0)) AS i, (l.x1 - l.x0) * (l.y1 - l.y0) + (r.x1 - r.x0) * (r.y1 - r.y0) AS w FROM boxes l JOIN boxes r ON r.scan = l.scan AND r.band = l.band WHERE least(l.x1 + 12, r.x1) > greatest(l.x0 + 12, r.x0)) x WHERE i > 0 AND i / (w - i) >= 0.3",
     "loan_conflict": lambda d: "SELECT DISTINCT call, status FROM spine WHERE how <> 'none' AND status <> 'shelf'",
-    "missed": lambda d: "SELECT c.call FROM calls c LEFT ANTI JOIN (SELECT call FROM spine WHERE how = 'direct') s ON s.call = c.call" if not d.duck else "SELECT c.call FROM calls c ANTI JOIN (SELECT call FROM spine WHERE how = 'direct') s ON s.call = c.call",
     "found": lambda d: f"SELECT c.call FROM calls c {'' if d.duck else 'LEFT '}SEMI JOIN (SELECT call FROM spine WHERE how = 'direct') s ON s.call = c.call",
-    "token_search": lambda d: "SELECT ord, call FROM (SELECT ord, call, row_number() OVER (ORDER BY ord) AS rn FROM catalog WHERE contains(call || ' ' || title, '1') AND (contains(call || ' ' || title, '가1') OR contains(call || ' ' || title, '나1'))) x WHERE rn <= 8",
-    "between_candidates": lambda d: "SELECT n.scan, n.band, n.pos, count(*) AS candidates FROM neighbours n JOIN ranked r ON r.place > n.before AND r.place < n.after AND n.after - n.before <= 6 GROUP BY n.scan, n.band, n.pos",
     "before_after": lambda d: "SELECT a.video, a.call, b.n - a.n AS delta FROM (SELECT video, call, count(*) AS n FROM votes WHERE frame < 12 GROUP BY video, call) a JOIN (SELECT video, call, count(*) AS n FROM votes WHERE frame >= 12 GROUP BY video, call) b ON b.video = a.video AND b.call = a.call",
     "model_diff": lambda d: "SELECT scan, pos, CASE WHEN score >= 0.95 THEN 'a' ELSE 'b' END AS winner FROM spine WHERE (score >= 0.95) <> (jitter >= 0.04)",
     # aggregations
-    "kpi": lambda d: "SELECT count(DISTINCT scan) AS photos, count(*) AS books, cast(coalesce(sum(mis), 0) AS bigint) AS misplaced, cast(coalesce(sum(resolved), 0) AS bigint) AS resolved FROM flags",
-    "misplaced_count_by_day": lambda d: "SELECT p.day, count(*) AS books, cast(sum(f.mis) AS bigint) AS misplaced FROM flags f JOIN photos p ON p.id = f.scan GROUP BY p.day",
-    "section_load": lambda d: "SELECT substr(cls, 1, 1) || '00' AS section, count(*) AS books, cast(sum(mis) AS bigint) AS misplaced FROM flags GROUP BY substr(cls, 1, 1) || '00'",
     "status_distribution": lambda d: "SELECT status, count(*) AS n FROM catalog GROUP BY status",
     "risk_features": lambda d: "SELECT sec, n, round(loan_rate, 6) AS loan_rate, round(series_rate, 6) AS series_rate, round(crowd_rate, 6) AS crowd_rate FROM features",
     "risk_rank": lambda d: "SELECT sec, n, round(vulnerability, 6) AS vulnerability, round(risk, 6) AS risk FROM (SELECT *, row_number() OVER (ORDER BY round(risk, 9) DESC, sec) AS rn FROM risk) x WHERE rn <= 15",
@@ -147,48 +143,25 @@ SQL: dict[str, Callable[[Dialect], str]] = {
     "row_votes": lambda d: "SELECT video, call, count(*) AS n FROM votes GROUP BY video, call",
     "vote_tiers": lambda d: "SELECT count(*) AS one, count(CASE WHEN photos >= 2 THEN 1 END) AS two, count(CASE WHEN photos >= 3 THEN 1 END) AS three FROM (SELECT call, count(DISTINCT scan) AS photos FROM spine WHERE how <> 'none' GROUP BY call) x",
     "grade": lambda d: "SELECT s.video, round(count(t.call) * 1.0 / greatest(1, (SELECT count(*) FROM truth)), 6) AS read_rate, round(count(t.call) * 1.0 / greatest(1, count(*)), 6) AS confirm_rate FROM (SELECT video, call FROM votes GROUP BY video, call HAVING count(DISTINCT frame) >= 2) s LEFT JOIN truth t ON t.call = s.call GROUP BY s.video",
-    "shared_prefix": lambda d: "SELECT token, n FROM (SELECT cls AS token, count(*) AS n FROM catalog GROUP BY cls UNION ALL SELECT substr(author, 1, 1), count(*) FROM catalog GROUP BY substr(author, 1, 1)) x WHERE n >= 0.3 * (SELECT count(*) FROM catalog)",
-    "hit_rate": lambda d: "SELECT section, round(hits * 25.0 / total, 6) AS expected FROM (SELECT substr(c.cls, 1, 1) AS section, count(CASE WHEN p.loans > 700 THEN 1 END) AS hits, count(*) AS total FROM catalog c LEFT JOIN popular p ON p.isbn13 = c.isbn13 GROUP BY substr(c.cls, 1, 1)) x",
     "group_accuracy": lambda d: "SELECT how, count(*) AS n, count(CASE WHEN score >= 0.95 THEN 1 END) AS a, count(CASE WHEN jitter >= 0.04 THEN 1 END) AS b FROM spine GROUP BY how",
-    "adoption": lambda d: "SELECT bool_and(b >= a) AS none_down, bool_or(how = 'direct' AND b > a) AS target_up FROM (SELECT how, count(CASE WHEN score >= 0.95 THEN 1 END) AS a, count(CASE WHEN jitter >= 0.04 THEN 1 END) AS b FROM spine GROUP BY how) x",
     "precision_recall": lambda d: "SELECT round(tp * 1.0 / greatest(1, tp + fp), 6) AS precis, round(tp * 1.0 / greatest(1, tp + fn), 6) AS recall FROM (SELECT count(CASE WHEN how = 'direct' AND score >= 0.95 THEN 1 END) AS tp, count(CASE WHEN how <> 'direct' AND score >= 0.95 THEN 1 END) AS fp, count(CASE WHEN how = 'direct' AND score < 0.95 THEN 1 END) AS fn FROM spine) x",
-    "medians": lambda d: "SELECT video, round(median(value), 6) AS med FROM votes GROUP BY video",
-    "percentiles": lambda d: f"SELECT video, round({d.percentile('value', 0.25)}, 6) AS p25, round({d.percentile('value', 0.5)}, 6) AS p50, round({d.percentile('value', 0.75)}, 6) AS p75, round({d.percentile('value', 0.9)}, 6) AS p90 FROM votes GROUP BY video",
-    "latency_index": lambda d: "SELECT video, round(max(CASE WHEN rn = cast(floor(n * 0.5) AS bigint) + 1 THEN value END), 6) AS p50, round(max(CASE WHEN rn = cast(floor(n * 0.99) AS bigint) + 1 THEN value END), 6) AS p99, round(avg(value), 6) AS mean FROM (SELECT video, value, row_number() OVER (PARTITION BY video ORDER BY value) AS rn, count(*) OVER (PARTITION BY video) AS n FROM votes) x GROUP BY video",
     "categories": lambda d: "SELECT CASE WHEN p.cls = '' THEN 'NOPREFIX' WHEN c.call IS NULL THEN 'MISSING' WHEN c.call = p.truth THEN 'CORRECT' ELSE 'MISREAD' END AS kind, count(*) AS n FROM parsed p LEFT JOIN (SELECT cls, author, min(call) AS call FROM calls GROUP BY cls, author) c ON c.cls = p.cls AND c.author = p.mark GROUP BY 1",
     "coverage": lambda d: "SELECT count(*) AS total, count(s.call) AS found FROM calls c LEFT JOIN (SELECT DISTINCT call FROM spine WHERE how = 'direct') s ON s.call = c.call",
     "tilt": lambda d: "SELECT scan, round(degrees(atan(regr_slope(y0, x0))), 6) AS tilt FROM boxes GROUP BY scan HAVING count(*) >= 3 AND max(x0) - min(x0) > 50",
-    "risk_groups": lambda d: "SELECT cls, author, count(*) AS members FROM catalog GROUP BY cls, author HAVING count(*) >= 2",
-    "threshold_sweep": lambda d: "SELECT step, cast(sum(n) AS bigint) AS matched FROM (SELECT cast(floor(round(score * 100, 4)) AS int) AS score, count(*) AS n FROM spine GROUP BY 1) s JOIN (SELECT 90 AS step UNION ALL SELECT 92 UNION ALL SELECT 94 UNION ALL SELECT 96 UNION ALL SELECT 98) t ON s.score >= t.step GROUP BY step",
     # windows and sequences
-    "bands": lambda d: "SELECT scan, pos, cast(sum(new) OVER (PARTITION BY scan ORDER BY y, pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) AS row_no FROM (SELECT scan, pos, (y0 + y1) / 2 AS y, CASE WHEN (y0 + y1) / 2 - lag((y0 + y1) / 2) OVER (PARTITION BY scan ORDER BY (y0 + y1) / 2, pos) > 0.8 * 60 THEN 1 ELSE 0 END AS new FROM boxes) x",
-    "x_clusters": lambda d: "SELECT scan, token, cast(sum(new) OVER (PARTITION BY scan ORDER BY x, token ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS bigint) AS cluster FROM (SELECT scan, token, x, CASE WHEN x - lag(x) OVER (PARTITION BY scan ORDER BY x, token) > 0.7 * 30 THEN 1 ELSE 0 END AS new FROM tokens) y",
     "gap_medians": lambda d: "SELECT scan, round(median(gap), 6) AS pitch FROM (SELECT scan, x0 - lag(x0) OVER (PARTITION BY scan, band ORDER BY pos) AS gap FROM confirmed) x WHERE gap IS NOT NULL GROUP BY scan",
     "adjacent_pairs": lambda d: "SELECT scan, band, call, next_call FROM (SELECT scan, band, call, lead(call) OVER (PARTITION BY scan, band ORDER BY pos) AS next_call FROM confirmed) x WHERE next_call IS NOT NULL",
     "nearest_confirmed": lambda d: f"SELECT scan, pos, left_call, right_call FROM (SELECT scan, pos, how, last_value(CASE WHEN how <> 'none' THEN call END {'IGNORE NULLS)' if d.duck else ') IGNORE NULLS'} OVER (PARTITION BY scan ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS left_call, first_value(CASE WHEN how <> 'none' THEN call END {'IGNORE NULLS)' if d.duck else ') IGNORE NULLS'} OVER (PARTITION BY scan ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS right_call FROM spine) x WHERE how = 'none'",
-    "loo_inference": lambda d: "SELECT scan, band, pos, after - before = 2 AND place = before + 1 AS hit FROM neighbours WHERE before < after AND after - before = 2",
-    "distance": lambda d: "SELECT scan, band, pos, place - before AS step, CASE WHEN place > before THEN 'right' WHEN place < before THEN 'left' ELSE 'here' END AS direction FROM neighbours WHERE before IS NOT NULL",
-    "reason": lambda d: "SELECT scan, band, pos, call, lag(call) OVER (PARTITION BY scan, band ORDER BY pos) AS left_call, lead(call) OVER (PARTITION BY scan, band ORDER BY pos) AS right_call FROM flags",
-    "find_prob": lambda d: "SELECT scan, pos, CASE WHEN how = 'direct' THEN 98 WHEN run = 1 THEN 95 WHEN run = 2 THEN 45 ELSE 0 END AS prob FROM (SELECT scan, pos, how, count(*) OVER (PARTITION BY scan, how, island) AS run FROM (SELECT scan, pos, how, pos - row_number() OVER (PARTITION BY scan, how ORDER BY pos) AS island FROM spine) y) x WHERE how IN ('direct', 'none')",
     "runs": lambda d: "SELECT scan, max(n) AS longest FROM (SELECT scan, how, island, count(*) AS n FROM (SELECT scan, how, pos - row_number() OVER (PARTITION BY scan, how ORDER BY pos) AS island FROM spine) x WHERE how = 'direct' GROUP BY scan, how, island) y GROUP BY scan",
     "capacity": lambda d: "SELECT scan, pos, call FROM (SELECT s.scan, s.pos, s.call, c.copies, row_number() OVER (PARTITION BY s.call ORDER BY CASE s.how WHEN 'direct' THEN 0 ELSE 1 END, s.score DESC, s.scan, s.pos) AS rn FROM confirmed s JOIN calls c ON c.call = s.call) x WHERE rn <= greatest(1, copies)",
     "best_of": lambda d: "SELECT call, scan, pos, score FROM (SELECT call, scan, pos, score, row_number() OVER (PARTITION BY call ORDER BY score DESC, scan, pos) AS rn FROM spine) x WHERE rn = 1",
-    "reading_order": lambda d: "SELECT scan, token, row_number() OVER (PARTITION BY scan ORDER BY floor(x / 30 + 0.5), x, token) AS place FROM tokens",
-    "every_fifth": lambda d: "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS rn FROM orders) x WHERE rn % 5 = 1",
     # sets and deduplication
     "set_ops": lambda d: "SELECT call FROM ((SELECT call FROM votes WHERE video = 0 INTERSECT SELECT call FROM votes WHERE video = 1) UNION (SELECT call FROM votes WHERE video = 2 EXCEPT SELECT call FROM votes WHERE video = 0)) x",
-    "photo_dedup": lambda d: f"SELECT conv, seq FROM (SELECT conv_id AS conv, seq, row_number() OVER (PARTITION BY seq ORDER BY conv_id) AS rn FROM (SELECT conv_id, {'string_agg(role, chr(44) ORDER BY turn)' if d.duck else 'array_join(transform(sort_array(collect_list(struct(turn, role))), x -> x.role), chr(44))'} AS seq FROM conversations GROUP BY conv_id) y) x WHERE rn = 1",
     "hash_dedup": lambda d: "SELECT md5(text) AS digest, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY md5(text)",
     "lww_answers": lambda d: "SELECT id, max_by(answer, seen_at) AS answer FROM answers GROUP BY id",
-    "token_quantise": lambda d: "SELECT qx, text, scan, token FROM (SELECT cast(floor(x / 12 + 0.5) AS bigint) AS qx, text, scan, token, row_number() OVER (PARTITION BY scan, floor(x / 12 + 0.5), text ORDER BY token) AS rn FROM tokens) y WHERE rn = 1",
     # matching procedures and sampling
-    "dual_evidence": lambda d: "SELECT p.scan, p.pos, CASE WHEN e.call = p.truth THEN 'dual' WHEN e.call IS NOT NULL THEN 'call' WHEN p.pos % 2 = 0 THEN 'title' ELSE 'none' END AS evidence FROM parsed p LEFT JOIN (SELECT cls, author, min(call) AS call FROM calls GROUP BY cls, author) e ON e.cls = p.cls AND e.author = p.mark",
-    "volume_pick": lambda d: "SELECT cls, author, ord, call FROM (SELECT c.*, count(*) OVER (PARTITION BY cls, author, vol) AS same FROM catalog c) x WHERE vol > 0 AND same = 1",
-    "group_split": lambda d: "SELECT call, CASE WHEN cast(conv_key AS int) < 15 THEN 'val' ELSE 'train' END AS part FROM (SELECT call, ord % 100 AS conv_key FROM calls) x",
     "modulo_split": lambda d: "SELECT ord, CASE WHEN ord % 12 = 0 THEN 'val' ELSE 'train' END AS part FROM catalog",
-    "replicate": lambda d: "SELECT s.scan, s.pos, r.copy FROM spine s JOIN (SELECT 'direct' AS how, 1 AS copy UNION ALL SELECT 'direct', 2 UNION ALL SELECT 'title', 1) r ON r.how = s.how",
     "box_centres": lambda d: "SELECT scan, pos, round((x0 + x1) / 2 / 1000, 6) AS cx, round((y0 + y1) / 2 / 1000, 6) AS cy, round((x1 - x0) / 1000, 6) AS w, round((y1 - y0) / 1000, 6) AS h FROM boxes",
-    "label_boxes": lambda d: "SELECT scan, pos, x0, x1, round(y0 + 0.6 * (y1 - y0), 6) AS ly0, y1 AS ly1 FROM boxes",
     "bounded_buffer": lambda d: "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events) x WHERE rn <= 30",
 }
 
@@ -208,7 +181,11 @@ def render(body: str, dialect: Dialect) -> str:
     order = list(VIEWS)
     order.sort(key=lambda v: v == "flags")  # flags uses confirmed only
     parts = [f"{v} AS ({texts[v]})" for v in order if v in needed]
-    text = (f"WITH {', '.join(parts)} " if parts else "") + body
+    own = re.match(r"\s*WITH (RECURSIVE )?", body)
+    if own and parts:
+        text = f"WITH {own[1] or ''}{', '.join(parts)}, {body[own.end() :]}"
+    else:
+        text = (f"WITH {', '.join(parts)} " if parts else "") + body
     return re.sub(r"(?<![\w'.])(\d+\.\d+)(?![\w'.])", r"\1e0", text)  # plain literals would be decimals
 
 

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+import __spark_entry__
 from shelfspark.operators import sequence
 from shelfspark.plans import catalog
 
@@ -39,8 +40,8 @@ def test_query_equals_oracle(spark, name):
     con = duckdb.connect()
     for t in catalog.TABLES:
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    df = (catalog.QUERIES | sequence.QUERIES)[name](spark, SF)
+    df = __spark_entry__.queries()[name](spark, SF)
     columns = sorted(df.columns)
     plain = lambda rows: sorted(repr(tuple(round(float(x), 5) if isinstance(x, float) else x for x in r)) for r in rows)
-    expected = con.sql((catalog.ORACLE | sequence.ORACLE)[name]).select(*[f'"{c}"' for c in columns]).fetchall()
+    expected = con.sql(__spark_entry__.oracle_sql()[name]).select(*[f'"{c}"' for c in columns]).fetchall()
     assert plain(df.select(columns).collect()) == plain(expected)
