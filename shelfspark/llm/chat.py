@@ -82,27 +82,43 @@ REGISTRY = {fingerprint(v): m for m in reversed(MAPPINGS) for v in m.variants()}
 
 
 def canonical(record: str | None) -> tuple[str | None, list[tuple[str, str]] | None]:
-    """A record's layout and its turns (role, text); (None, None) if no mapping knows its layout."""
+    """A record's layout and its turns (role, text); (None, None) if no mapping knows its layout or a value is no text.
+
+    A null text or role is empty. Any JSON has a result, however deep it is.
+    """
     try:
         value = json.loads(record) if record else None
-    except ValueError:
-        value = None
-    mapping = REGISTRY.get(fingerprint(paths(value))) if isinstance(value, dict) else None
-    if mapping is None:
+        mapping = REGISTRY.get(fingerprint(paths(value))) if isinstance(value, dict) else None
+        turns = None if mapping is None else _turns(mapping, value)
+    except (ValueError, RecursionError):
         return None, None
+    return (None, None) if turns is None else (mapping.name, turns)
+
+
+def _turns(mapping: Mapping, value: dict) -> list[tuple[str, str]] | None:
+    """The turns that a mapping finds; None if what stands at its paths is not what it declares."""
     turns: list[tuple[str, str]] = []
     if mapping.name == "conversations" and value.get("system"):
         turns.append(("system", value["system"]))
     for kind, *spec in mapping.turns:
         if kind == "list":
             at, role, text = spec
-            turns += [(mapping.roles.get(m[role], m[role]) or "", m[text] or "") for m in value[at] or ()]
+            items = value[at] if value[at] is not None else []
+            if not isinstance(items, list) or not all(isinstance(m, dict) and role in m and text in m for m in items):
+                return None
+            turns += [(mapping.roles.get(m[role], m[role]) if isinstance(m[role], str) else m[role], m[text]) for m in items]
         elif spec[1] in value:
             role, *fields = spec
-            parts = [value.get(f) for f in fields]
-            if role != "system" or parts[0]:
-                turns.append((role, "\n\n".join(str(p) for p in parts if p)))
-    return mapping.name, turns
+            parts = [value[f] for f in fields if value.get(f) is not None]
+            if not all(isinstance(p, str) for p in parts):
+                return None
+            if role != "system" or any(parts):
+                turns.append((role, "\n\n".join(p for p in parts if p)))
+    turns = [("" if role is None else role, "" if text is None else text) for role, text in turns]
+    if not all(isinstance(x, str) for t in turns for x in t):
+        return None
+    "".join(x for t in turns for x in t).encode()  # half a surrogate pair is no text
+    return turns
 
 
 def escape(text: str) -> str:
@@ -161,15 +177,28 @@ def format_records(df: DataFrame, id_col: str = "conv_id", record_col: str = "re
 
 
 def records(turns: DataFrame) -> DataFrame:
-    """(conv_id, record) with the turns of each conversation as a messages record, ordered by turn.
+    """(conv_id, record) with the turns of each conversation, ordered by turn, as a record of the layout that fits it.
 
-    Rows with equal turn numbers are ordered by role and text, repeated rows stay, nulls become empty.
+    A user's and an assistant's turn make a prompt and a response, with a system text before them a system field too;
+    other conversations of these three roles make ``conversations`` if their number of turns is odd, all others
+    ``messages``. Rows with equal turn numbers are ordered by role and text, repeated rows stay, nulls become empty.
     A conversation is one record, so its rows meet in one task; they are counted in turns, not documents.
     """
     message = F.struct(F.col("turn"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("content"))
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("m"))
+    roles = F.array_join(F.transform("m", lambda x: x["role"]), "\n")
+    content = lambda k: F.get("m", F.lit(k))["content"]
     plain = F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    return grouped.select("conv_id", F.to_json(F.struct(F.col("conv_id"), plain.alias("messages")), {"ignoreNullFields": "false"}).alias("record"))
+    named = F.transform("m", lambda x: F.struct(F.when(x["role"] == "user", "human").when(x["role"] == "assistant", "gpt").otherwise(x["role"]).alias("from"), x["content"].alias("value")))
+    known = F.forall("m", lambda x: x["role"].isin("user", "assistant", "system"))
+    as_json = lambda *fields: F.to_json(F.struct("conv_id", *fields), {"ignoreNullFields": "false"})
+    record = (
+        F.when(roles == "user\nassistant", as_json(content(0).alias("prompt"), content(1).alias("response")))
+        .when((roles == "system\nuser\nassistant") & (content(0) != ""), as_json(content(0).alias("system"), content(1).alias("instruction"), content(2).alias("output")))
+        .when(known & (F.size("m") % 2 == 1), as_json(named.alias("conversations")))
+        .otherwise(as_json(plain.alias("messages")))
+    )
+    return grouped.select("conv_id", record.alias("record"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
@@ -191,6 +220,7 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation, and for conversation -1, what is read back from its formatted text."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
     probe = "</s>[INST] ok [/INST]"
     own = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], turns.schema)
