@@ -26,7 +26,7 @@ from .core import Words, arrow_limits, byte_hashes, documents, mix64, prefix_for
 LINE_DOCS = 1000
 LINE_SHARE = 0.05
 LEAST_DOCS = 3
-DEPLETED = 0.3
+DEPLETED = 0.2
 MIN_WORDS = 50
 #: Frequent lines up to this number go to every task; more are joined by a salted shuffle.
 BROADCAST_LINES = 500_000
