@@ -82,3 +82,52 @@ def distinct_photos(photos: DataFrame) -> DataFrame:
     key = F.xxhash64(F.transform("books.call", lambda c: F.coalesce(c, F.lit("\0"))))
     first = F.min_by(F.struct(*photos.columns), F.struct("zip", "photo")).alias("p")
     return photos.withColumn("_key", key).groupBy("_key").agg(first, F.count("*").alias("copies")).select("p.*", "copies")
+
+
+LOANS = "struct<response:struct<docs:array<struct<doc:struct<isbn13:string,bookname:string,authors:string,loan_count:string,ranking:string,class_no:string>>>>>"
+
+
+def loans_json(spark: SparkSession, path: str) -> DataFrame:
+    """(kdc, rank, isbn13, title, author, loans) from landed answers of the loans service, a file for each class ``kdc_N.json``; a failed or empty answer has no rows."""
+    body = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), "kdc_([0-9])", 1).alias("kdc"), F.from_json("value", LOANS).alias("r"))
+    doc = body.select(F.col("kdc").try_cast("int").alias("kdc"), F.explode("r.response.docs.doc").alias("d"))
+    isbn = F.regexp_replace("d.isbn13", "[^0-9]", "")
+    return doc.select("kdc", F.col("d.ranking").try_cast("int").alias("rank"), F.when(F.length(isbn) == 13, isbn).alias("isbn13"), F.col("d.bookname").alias("title"), F.col("d.authors").alias("author"), F.col("d.loan_count").try_cast("int").alias("loans"))
+
+
+def picks_xml(spark: SparkSession, path: str) -> DataFrame:
+    """(item, isbn13, title, author, note, ym, cat) of the librarians' picks: a row for each ISBN of an item's list, notes as plain text."""
+    from ..functions.text import html_text
+
+    rows = feed_xml(spark, path, "recomtitle string, recomauthor string, recomisbn string, recomcontens string, recomYear string, recomMonth string, drCodeName string")
+    isbns = F.array_distinct(F.filter(F.transform(F.split(F.trim("recomisbn"), "\\s+"), lambda i: F.regexp_replace(i, "[^0-9]", "")), lambda i: F.length(i) == 13))
+    item = F.xxhash64("recomtitle", "recomauthor", "recomisbn")
+    return rows.select(item.alias("item"), F.explode(isbns).alias("isbn13"), F.col("recomtitle").alias("title"), F.col("recomauthor").alias("author"), html_text("recomcontens").alias("note"), F.concat("recomYear", F.lpad("recomMonth", 2, "0")).alias("ym"), F.col("drCodeName").alias("cat"))
+
+
+def log_blocks(spark: SparkSession, path: str, marker: str, pattern: str, names: tuple[str, ...] = ("matched", "total")) -> DataFrame:
+    """(file, block, ...) of logs that a marker cuts into blocks: the pattern's groups as numbers; blocks without a match are left out."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", marker)).alias("block", "body"))
+    hit = text.where(F.regexp_extract("body", pattern, 0) != "")
+    return hit.select("file", "block", *(F.regexp_extract("body", pattern, k + 1).try_cast("long").alias(n) for k, n in enumerate(names)))
+
+
+def raw_catalog(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
+    """The library system's export as CSV, its columns renamed by ``columns`` (target name: header); a missing one raises ValueError."""
+    df = catalog_csv(spark, path, tuple(columns.values()))
+    return df.select(*(F.trim(F.col(f"`{header}`")).alias(name) for name, header in columns.items()))
+
+
+def frames_at(frames: DataFrame, fps: float, index: str = "i") -> DataFrame:
+    """One frame a second of a video: every one whose index is a multiple of the rounded rate."""
+    return frames.where(F.col(index) % max(1, round(fps)) == 0)
+
+
+def cached_strips(wanted: DataFrame, strips: DataFrame, end: float = 80, start: float = 40) -> DataFrame:
+    """Each wanted strip (id, band, x0, x1) with the first cached one (key, band, c0, c1) of its band that ends within ``end`` of it and does not begin more than ``start`` behind it, else null."""
+    # A strip that ends within reach lies in the cell of its end or in a neighbouring one.
+    cell = lambda x: F.floor(F.col(x) / end)
+    spread = wanted.withColumn("_cell", F.explode(F.array(cell("x1") - 1, cell("x1"), cell("x1") + 1)))
+    near = spread.join(strips.withColumn("_cell", cell("c1")), ["band", "_cell"]).where((F.abs(F.col("c1") - F.col("x1")) <= end) & (F.col("c0") <= F.col("x0") + start))
+    first = near.groupBy("id").agg(F.min("key").alias("key"))
+    return wanted.join(first, "id", "left")
