@@ -7,9 +7,11 @@ for each distinct text: (read, call, score, stage); call and score are independe
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -18,6 +20,7 @@ from ..functions.similarity import blend, matching_ratio, title_blend
 PAIR = f"([0-9]{{3}}(?:[.][0-9]+)?)([{text.SYLLABLES}][0-9]{{1,3}}[{text.SYLLABLES}{text.CONSONANTS}0Oo]?)"
 AUTHOR = f"[{text.SYLLABLES}][0-9]{{2,3}}[{text.SYLLABLES}{text.CONSONANTS}]?"
 CLASS = "[0-9]{3}(?:[.][0-9]+)?"
+KEPT_OUT = f"[^0-9A-Za-z{text.SYLLABLES}{text.CONSONANTS}{text.VOWELS}.]"
 CLASS_ALIKE, AUTHOR_ENOUGH, AUTHOR_MARGIN = 0.7, 0.75, 0.05
 
 
@@ -320,3 +323,15 @@ MATCHERS: dict[str, Callable[..., DataFrame]] = {
 def register(name: str, matcher: Callable[..., DataFrame]) -> None:
     """Adds a matcher; one of that name is replaced."""
     MATCHERS[name] = matcher
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Makes the table function ``read_pairs(text)`` known to SQL: (place, cls, author) for each class with an author in a text."""
+
+    class ReadPairs:
+        def eval(self, read: str):
+            kept = re.sub(KEPT_OUT, "", unicodedata.normalize("NFC", re.sub("[vV][.]?[0-9]+", " ", read or "")))
+            for place, found in enumerate(re.finditer(PAIR, kept)):
+                yield place, found[1], found[2]
+
+    spark.udtf.register("read_pairs", F.udtf(ReadPairs, returnType="place: int, cls: string, author: string"))

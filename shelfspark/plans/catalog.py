@@ -114,8 +114,6 @@ SQL: dict[str, Callable[[Dialect], str]] = {
     "isbn_norm": lambda d: f"SELECT ord, CASE WHEN length({d.replace('raw', '[^0-9]', '')}) = 13 THEN {d.replace('raw', '[^0-9]', '')} END AS isbn FROM (SELECT ord, CASE WHEN ord % 4 = 0 THEN substr(isbn13, 1, 10) ELSE substr(isbn13, 1, 3) || '-' || substr(isbn13, 4, 10) END AS raw FROM catalog) x",
     "section_of": lambda d: f"SELECT ord, CASE WHEN {d.extract('cls', '^[0-9]{3}')} <> '' THEN substr(cls, 1, 1) || '00' ELSE 'other' END AS section FROM catalog",
     "shelf_sorted": lambda d: f"SELECT ord, call, row_number() OVER (PARTITION BY cls ORDER BY {KEY}, ord) AS place FROM catalog",
-    # similarity
-    "edit_distance_suggest": lambda d: "SELECT scan, pos, mark, author, dist FROM (SELECT x.*, row_number() OVER (PARTITION BY scan, pos ORDER BY dist, author) AS rn FROM (SELECT DISTINCT p.scan, p.pos, p.mark, c.author, levenshtein(translate(p.mark, '가나다라ㄱㄴㄷㅇ', 'abcdefgh'), translate(c.author, '가나다라ㄱㄴㄷㅇ', 'abcdefgh')) AS dist FROM parsed p JOIN calls c ON c.cls = p.cls WHERE p.mark <> '') x WHERE dist <= 2) y WHERE rn <= 3",
     # filters and gates
     "status_filter": lambda d: "SELECT ord, call, status FROM catalog WHERE status = 'shelf' AND trim(call) <> ''",
     "spike_filter": lambda d: "SELECT scan, band, pos FROM (SELECT *, lag(cls_num) OVER w AS b, lead(cls_num) OVER w AS a FROM confirmed WINDOW w AS (PARTITION BY scan, band ORDER BY pos)) x WHERE cls_num < b - 1 AND cls_num < a - 1 AND b <= a",

@@ -57,7 +57,7 @@ def match_call_before_surgery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("read", "call", F.round("score", 6).alias("score"), "stage")
 
 
-_SHORT = "(SELECT DISTINCT CASE WHEN ord % 3 = 0 THEN substr(read, 1, 5) ELSE read END AS read FROM asked WHERE supp % 10 = 0) x"
+_SHORT = "(SELECT DISTINCT CASE WHEN ord % 3 = 0 THEN substr(read, 1, 5) ELSE read END AS read FROM asked) x"
 
 
 @registered(
@@ -113,14 +113,14 @@ def match_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def retro_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and author of crops from the lines read on them, where nothing else is as likely."""
-    rows = view(spark, sf_dir, "SELECT DISTINCT ord, read FROM asked WHERE supp % 10 = 0").select(F.concat_ws("/", F.col("ord").cast("string"), "read").alias("id"), F.split("read", " ").alias("reads"))
+    rows = view(spark, sf_dir, "SELECT DISTINCT ord, read FROM asked").select(F.concat_ws("/", F.col("ord").cast("string"), "read").alias("id"), F.split("read", " ").alias("reads"))
     return calls.retro_call(rows, _catalog(spark, sf_dir)).select("id", "cls", "author", F.round("score", 6).alias("score"))
 
 
 @registered()
 def suggested_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to five calls that a person may choose from, for two lines read on a crop."""
-    rows = view(spark, sf_dir, "SELECT DISTINCT ord AS id, read FROM asked WHERE supp % 10 = 0").groupBy("id").agg(F.split(F.min("read"), " ").alias("reads"))
+    rows = view(spark, sf_dir, "SELECT DISTINCT ord AS id, read FROM asked").groupBy("id").agg(F.split(F.min("read"), " ").alias("reads"))
     return calls.suggest_calls(rows, _catalog(spark, sf_dir))
 
 
@@ -192,3 +192,33 @@ def volume_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, "SELECT cls, mark, call FROM holdings").withColumn("volume", F.explode(F.array(F.lit("1"), F.lit("3"), F.lit(""))))
     plain = rows.withColumnRenamed("call", "whole").withColumn("call", F.regexp_replace("whole", "(=| c[.])[0-9]+$", ""))
     return plain.groupBy("cls", "mark", "volume").agg(*calls._picked(F.lit(True))).select("cls", "mark", F.col("volume").alias("n"), "hits", "picked")
+
+
+CAP, NEAR, SCANNED, OFFERED = 3, 2, 40, 3
+_ASCII = "translate({0}, '가나다라마바ㄱㄴㅇ', 'abcdefghi')"
+
+
+@registered(
+    f"""WITH m AS (SELECT DISTINCT cls, mark FROM (SELECT regexp_extract(read, '^([0-9]{{3}}([.][0-9]+)?) ', 1) AS cls, regexp_extract(read, ' ([가-힣ㄱ-ㅎ][0-9가-힣ㄱ-ㅎ]*)', 1) AS mark FROM asked) x WHERE cls <> '' AND mark <> ''),
+    h AS (SELECT m.cls, m.mark, c.mark AS author, c.ord, levenshtein({_ASCII.format('m.mark')}, {_ASCII.format('c.mark')}) AS dist FROM m JOIN holdings c ON c.cls = m.cls),
+    s AS (SELECT *, row_number() OVER (PARTITION BY cls, mark ORDER BY ord) AS seen FROM h WHERE dist <= {NEAR}), r AS (SELECT *, row_number() OVER (PARTITION BY cls, mark ORDER BY dist, ord) AS place FROM s WHERE seen <= {SCANNED})
+    SELECT cls, mark, author, dist, place FROM r WHERE place <= {OFFERED}"""
+)
+def edit_distance_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of a class within an edit distance of two, looked for up to three: of the first forty in catalog order the three nearest, which is the feature."""
+    reads = view(spark, sf_dir, "SELECT DISTINCT read FROM asked").select(F.regexp_extract("read", "^([0-9]{3}([.][0-9]+)?) ", 1).alias("cls"), F.regexp_extract("read", " ([가-힣ㄱ-ㅎ][0-9가-힣ㄱ-ㅎ]*)", 1).alias("mark"))
+    reads = reads.where("cls <> '' and mark <> ''").distinct()
+    hits = reads.join(view(spark, sf_dir, "SELECT cls, mark AS author, ord FROM holdings"), "cls").withColumn("dist", F.levenshtein("mark", "author", CAP)).where(F.col("dist").between(0, NEAR))
+    seen = hits.withColumn("seen", F.row_number().over(Window.partitionBy("cls", "mark").orderBy("ord"))).where(F.col("seen") <= SCANNED)
+    return seen.withColumn("place", F.row_number().over(Window.partitionBy("cls", "mark").orderBy("dist", "ord"))).where(F.col("place") <= OFFERED).select("cls", "mark", "author", "dist", "place")
+
+
+@registered(
+    """SELECT DISTINCT read, i - 1 AS place, cs[i] AS cls, ms[i] AS author FROM (SELECT read, cs, ms, unnest(range(1, len(cs) + 1)) AS i FROM (SELECT read, regexp_extract_all(t, '([0-9]{3}(?:[.][0-9]+)?)([가-힣][0-9]{1,3}[가-힣ㄱ-ㅎ0Oo]?)', 1) AS cs, regexp_extract_all(t, '([0-9]{3}(?:[.][0-9]+)?)([가-힣][0-9]{1,3}[가-힣ㄱ-ㅎ0Oo]?)', 2) AS ms
+        FROM (SELECT read, regexp_replace(regexp_replace(read, '[vV][.]?[0-9]+', ' ', 'g'), '[^0-9A-Za-z가-힣ㄱ-ㅎㅏ-ㅣ.]', '', 'g') AS t FROM asked) a) b) c"""
+)
+def read_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every class with an author in each reading, by the table function ``read_pairs`` from SQL."""
+    calls.register_functions(spark)
+    view(spark, sf_dir, "SELECT DISTINCT read FROM asked").createOrReplaceTempView("distinct_reads")
+    return spark.sql("SELECT r.read, p.place, p.cls, p.author FROM distinct_reads r, LATERAL read_pairs(r.read) p")

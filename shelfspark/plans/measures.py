@@ -91,10 +91,10 @@ def first_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "SELECT ord, call FROM holdings").groupBy(text.plain_text("call").alias("norm")).agg(F.min_by("call", "ord").alias("call"))
 
 
-@registered("SELECT call FROM holdings EXCEPT SELECT truth FROM asked WHERE supp % 4 = 0")
+@registered("SELECT call FROM calls EXCEPT SELECT call FROM spine WHERE how = 'direct' AND score >= 0.99 AND jitter < 0.01")
 def missed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls of the catalog that no reading of every fourth supplier's shelf shows."""
-    return view(spark, sf_dir, "SELECT call FROM holdings").distinct().join(view(spark, sf_dir, "SELECT truth AS call FROM asked WHERE supp % 4 = 0"), "call", "left_anti")
+    """Calls of the catalog that no sharp and sure reading shows."""
+    return view(spark, sf_dir, "SELECT call FROM calls").join(view(spark, sf_dir, "SELECT call FROM spine WHERE how = 'direct' AND score >= 0.99 AND jitter < 0.01"), "call", "left_anti")
 
 
 _SERIES = "(SELECT cls || '-' || substr(mark, 1, 1) || CASE WHEN ord % 2 = 0 THEN 'ㄱ' || cast(vol AS string) ELSE '' END AS call FROM holdings) x"
@@ -185,13 +185,13 @@ def latency_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    """WITH p AS (SELECT sec, rank() OVER (ORDER BY round(risk, 9) DESC, sec) AS place, count(*) OVER () AS n FROM risk), f AS (SELECT DISTINCT cast(floor(cls_num) AS int) AS sec FROM flags JOIN catalog USING (call, cls) WHERE mis = 1 AND scan % 50 = 0)
+    """WITH p AS (SELECT sec, rank() OVER (ORDER BY round(risk, 9) DESC, sec) AS place, count(*) OVER () AS n FROM risk), f AS (SELECT DISTINCT cast(floor(cls_num) AS int) AS sec FROM flags JOIN catalog USING (call, cls) WHERE resolved = 1)
     SELECT p.sec, p.place, round(1 - (p.place - 1) / n, 6) AS percent_rank, p.place <= n / 2 AS top_half FROM p JOIN f ON f.sec = p.sec"""
 )
 def field_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where sections with misplaced books in the field stand in the ranking by risk."""
     places = view(spark, sf_dir, "SELECT sec, risk FROM risk").withColumns({"place": F.row_number().over(Window.orderBy(F.desc(F.round("risk", 9)), "sec")), "n": F.count("*").over(Window.partitionBy())})  # a row for each section
-    found = view(spark, sf_dir, "SELECT DISTINCT cls FROM flags WHERE mis = 1 AND scan % 50 = 0").select(F.floor(F.col("cls").cast("double")).cast("int").alias("sec")).distinct()
+    found = view(spark, sf_dir, "SELECT DISTINCT cls FROM flags WHERE resolved = 1").select(F.floor(F.col("cls").cast("double")).cast("int").alias("sec")).distinct()
     return places.join(found, "sec").select("sec", F.col("place").cast("long").alias("place"), F.round(1 - (F.col("place") - 1) / F.col("n"), 6).alias("percent_rank"), (F.col("place") <= F.col("n") / 2).alias("top_half"))
 
 

@@ -237,12 +237,12 @@ def token_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    f"""WITH n AS (SELECT t.scan, t.token, d.pos, abs((d.x0 + d.x1) / 2 - t.x) AS far, d.x1 - d.x0 AS w, row_number() OVER (PARTITION BY t.scan, t.token ORDER BY abs((d.x0 + d.x1) / 2 - t.x), d.pos) AS rn FROM {_TOKENS} JOIN detections d ON d.scan = t.scan AND d.pos % 2 = 0)
+    f"""WITH n AS (SELECT t.scan, t.token, d.pos, abs((d.x0 + d.x1) / 2 - t.x) AS far, d.x1 - d.x0 AS w, row_number() OVER (PARTITION BY t.scan, t.token ORDER BY abs((d.x0 + d.x1) / 2 - t.x), d.pos) AS rn FROM {_TOKENS} JOIN detections d ON d.scan = t.scan AND d.flag <> 'R')
     SELECT scan, token, pos FROM n WHERE rn = 1 AND far <= greatest(60, 0.9 * w)"""
 )
 def token_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens to the box with the nearest centre, the first of equal ones, at most 60 or 0.9 widths away; every second box was not found."""
-    both = view(spark, sf_dir, f"SELECT * FROM {_TOKENS}").join(view(spark, sf_dir, "SELECT scan, pos, x0, x1 FROM detections WHERE pos % 2 = 0"), "scan")
+    """Tokens to the box with the nearest centre, the first of equal ones, at most 60 or 0.9 widths away; boxes of status R were not found."""
+    both = view(spark, sf_dir, f"SELECT * FROM {_TOKENS}").join(view(spark, sf_dir, "SELECT scan, pos, x0, x1 FROM detections WHERE flag <> 'R'"), "scan")
     both = both.withColumns({"far": F.abs((F.col("x0") + F.col("x1")) / 2 - F.col("x")), "w": F.col("x1") - F.col("x0")})
     near = both.groupBy("scan", "token").agg(F.min_by(F.struct("pos", "far", "w"), F.struct("far", "pos")).alias("n"))
     return near.where("n.far <= greatest(60, 0.9 * n.w)").select("scan", "token", "n.pos")
@@ -295,7 +295,7 @@ def resplit_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered()
 def aligned_shelves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of a close reading and a wide one of the same shelf, paired between their common books."""
-    rows = view(spark, sf_dir, "SELECT l_suppkey AS shelf, l_orderkey % 2 AS side, l_orderkey * 10 + l_linenumber AS o, cast(l_partkey % 1000 AS double) AS x, CASE WHEN l_returnflag <> 'R' THEN cast(l_partkey AS string) END AS call FROM lineitem WHERE l_linenumber <= 2")
+    rows = view(spark, sf_dir, "SELECT l_suppkey AS shelf, l_orderkey % 2 AS side, l_orderkey * 10 + l_linenumber AS o, cast(l_partkey % 1000 AS double) AS x, CASE WHEN l_returnflag <> 'R' THEN cast(l_partkey AS string) END AS call FROM lineitem")
 
     def pair(items: list[tuple]) -> list[tuple]:
         return folds.aligned(*([(call, x) for x, _, side, call in items if side == s] for s in (0, 1)))
@@ -305,7 +305,7 @@ def aligned_shelves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- inference -------------------------------------------------------------------------------
 
-_WALK = "(SELECT substr(cls, 1, 2) AS scan, 0 AS band, row_number() OVER (PARTITION BY substr(cls, 1, 2) ORDER BY cls_num, author, vol, ord) AS pos, ord FROM catalog WHERE ord % 5 <> 0) x"
+_WALK = "(SELECT substr(cls, 1, 2) AS scan, 0 AS band, row_number() OVER (PARTITION BY substr(cls, 1, 2) ORDER BY cls_num, author, vol, ord) AS pos, ord FROM catalog WHERE status = 'shelf') x"
 
 
 @registered(
