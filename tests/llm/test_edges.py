@@ -302,3 +302,51 @@ def test_passages_with_hot_heads_are_brute_force(spark, monkeypatch, hot, n):
     for r in repeats.passages(frame(spark, texts), n).collect():
         got |= {(r["doc_id"], r["start_word"] + k) for k in range(r["n_words"])}
     assert got == brute_passages(texts, n)
+
+
+# --- SQL and brute force over whole tables ---------------------------------------------------
+
+
+@pytest.mark.parametrize("name", ["op3_ngram_jaccard", "op7_substring_dedup", "op9_chat_format", "op10_quality_rules"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    from shelfspark.llm import queries
+
+    small = SF.replace("0.01", "0.001")
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.sql(f"create view {t} as select * from '{small}/{t}.parquet'")
+    df = queries.QUERIES[name](spark, small)
+    columns = sorted(df.columns)
+    expected = con.sql(queries.SQL[name]).select(*columns).fetchall()
+    assert sorted(map(repr, map(tuple, df.select(columns).collect()))) == sorted(map(repr, expected)) and expected
+
+
+def test_line_groups_against_all_pairs(spark):
+    """Over every pair of different lines of the smallest table: no pair in one group without a chain of similar ones, nine of ten similar pairs in one group."""
+    docs = spark.read.parquet(f"{SF.replace('0.01', '0.001')}/documents.parquet")
+    all_lines = lines.lines_of(docs, 1)
+    one = all_lines.select("h", "norm").dropDuplicates(["h"]).withColumn("n", F.length("norm"))
+    limit = F.floor(0.2 * F.greatest("n", "m") + 1e-9).cast("int")
+    other = one.select(F.col("h").alias("o"), F.col("norm").alias("other"), F.col("n").alias("m"))
+    pairs = one.repartition(16).join(F.broadcast(other), (F.col("h") < F.col("o")) & (F.abs(F.col("n") - F.col("m")) <= 0.2 * F.greatest("n", "m") + 1e-9))
+    similar = [(r["h"], r["o"], r["n"]) for r in pairs.where(F.call_function("levenshtein", F.col("norm"), F.col("other"), limit) >= 0).select("h", "o", "n").collect()]
+    parent: dict[int, int] = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b, _ in similar:
+        parent[find(a)] = find(b)
+    got = {r["node"]: r["component"] for r in lines.similar_lines(lines.distinct_lines(all_lines)).collect()}
+    members = defaultdict(set)
+    for node, component in got.items():
+        members[component].add(find(node))
+    assert all(len(m) == 1 for m in members.values())
+    met = [got.get(a, a) == got.get(b, b) for a, b, _ in similar]
+    by_length = {name: (sum(m for m, (_, _, n) in zip(met, similar) if lo <= n < hi), sum(lo <= n < hi for _, _, n in similar)) for name, lo, hi in (("short", 0, 40), ("middle", 40, 200), ("long", 200, 10**9))}
+    print(by_length)
+    assert len(similar) >= 20 and sum(met) >= 0.9 * len(met), by_length
