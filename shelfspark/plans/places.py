@@ -259,7 +259,10 @@ def corresponding_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "scan").where((F.abs(F.col("ax") - F.col("bx")) < 0.6 * F.col("aw")) & (F.abs(F.col("ay") - F.col("by")) < 1.2 * F.col("aw"))).select("scan", "a", "b")
 
 
-@registered()
+@registered(
+    """WITH m AS (SELECT scan, median(x1 - x0) AS w FROM detections GROUP BY scan), o AS (SELECT d.scan, d.pos, d.x0, d.part, coalesce(d.x0 - lag(d.x0) OVER (PARTITION BY d.scan ORDER BY d.x0, d.pos) > 0.7 * m.w, true) AS new FROM detections d JOIN m ON m.scan = d.scan),
+    c AS (SELECT scan, part FROM o WHERE new), b AS (SELECT scan, part FROM detections WHERE flag = 'A') SELECT scan, part AS book, 'box' AS channel FROM b UNION ALL SELECT DISTINCT scan, part, 'cluster' FROM c WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.scan = c.scan AND b.part = c.part)"""
+)
 def cluster_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books by their boxes' tokens and, beside them, by clusters of all tokens: a cluster adds a call that no box gave."""
     calls = view(spark, sf_dir, "SELECT scan, pos, x0, x1, part, flag FROM detections")
@@ -358,7 +361,11 @@ def reasons(rows: DataFrame) -> DataFrame:
     return out.select("scan", "band", "pos", "call", "left_call", "right_call", F.when(F.col("n") > 0, F.col("after")).alias("belongs_after"), F.col("before").alias("belongs_before"))
 
 
-@registered()
+@registered(
+    f"""WITH wrong AS ({sequence.ORACLE["misplaced_books"]}), d AS (SELECT s.scan, s.band, s.pos, s.call, cast(r.place AS bigint) AS k, lag(s.call) OVER w AS l, lead(s.call) OVER w AS n FROM spine s JOIN ranked r ON r.ord = s.ord WHERE s.how = 'direct' WINDOW w AS (PARTITION BY s.scan, s.band ORDER BY s.pos)),
+    f AS (SELECT d.* FROM d ANTI JOIN wrong USING (scan, band, pos)) SELECT x.scan, x.band, x.pos, x.call, x.l AS left_call, x.n AS right_call, arg_max(f.call, (f.k, f.pos)) FILTER (WHERE f.k <= x.k) AS belongs_after, arg_min(f.call, (f.k, f.pos)) FILTER (WHERE f.k > x.k) AS belongs_before
+    FROM d x JOIN wrong w ON w.scan = x.scan AND w.band = x.band AND w.pos = x.pos LEFT JOIN f ON f.scan = x.scan AND f.band = x.band GROUP BY x.scan, x.band, x.pos, x.call, x.l, x.n"""
+)
 def reason(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reasons(sequence.judged_books(spark, sf_dir))
 
