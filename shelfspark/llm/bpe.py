@@ -258,4 +258,5 @@ def roundtrip_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def op1_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the number of its tokens and the digests of its ids and of the text decoded from them. A null text is empty: no tokens. Repeated rows are rows of their own; a text of any length is encoded whole."""
     return roundtrip_digests(documents(spark, sf_dir))

@@ -50,6 +50,7 @@ _local_workspace: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table ``documents`` of a folder, whole."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

@@ -214,4 +214,5 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> D
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the size of its set of four-word shingles and the smallest id that it is linked with, at 85 in a hundred. Null and empty texts have no shingles and stand alone; rows with equal ids are one node."""
     return jaccard_components(documents(spark, sf_dir), size=4, percent=85)

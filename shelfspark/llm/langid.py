@@ -279,6 +279,7 @@ def identify(df: DataFrame, training: dict[str, list[str]], id_col: str = "doc_i
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document whether it was held out, the language learnt from the others that parses its text in the fewest phrases, and a score. ``und`` and 0 for a null text or one without letters."""
     docs = documents(spark, sf_dir)
     training = sample(docs.where(~held_out()))
     return identify(docs, training).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

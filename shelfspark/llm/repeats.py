@@ -128,6 +128,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document how many words it has, how many lie in a window of 35 that starts elsewhere too, and the digest of the others. Null and empty texts have no words; repeated rows repeat each other."""
     return remove_repeats(documents(spark, sf_dir))
 
 
@@ -391,4 +392,5 @@ def drop_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each maximal span of words, 50 or more, that occurs again: its document, place, length, how much of it a removal takes, and its text. Documents without one have no row."""
     return passages(documents(spark, sf_dir))
