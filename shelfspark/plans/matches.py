@@ -103,8 +103,8 @@ def match_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    f"""SELECT read, min_by(call, i) AS call FROM (SELECT DISTINCT read, i, CASE WHEN try_cast(nums[i] AS int) IN (SELECT p_size FROM part) AND nums[i] NOT LIKE '0%' AND nums[i] NOT IN ('408', '88') THEN '408-뉴88-' || nums[i] END AS call
-        FROM (SELECT read, nums, unnest(range(1, greatest(len(nums), 1) + 1)) AS i FROM (SELECT read, regexp_extract_all(read, '[0-9]{{1,3}}') AS nums FROM {_SPINES}) a) b) c GROUP BY read""".replace("min_by(call, i)", "arg_min(call, i)")
+    f"""SELECT read, arg_min(call, i) AS call FROM (SELECT DISTINCT read, i, CASE WHEN try_cast(nums[i] AS int) IN (SELECT p_size FROM part) AND nums[i] NOT LIKE '0%' AND nums[i] NOT IN ('408', '88') THEN '408-뉴88-' || nums[i] END AS call
+        FROM (SELECT read, nums, unnest(range(1, greatest(len(nums), 1) + 1)) AS i FROM (SELECT read, regexp_extract_all(read, '[0-9]{{1,3}}') AS nums FROM {_SPINES}) a) b) c GROUP BY read"""
 )
 def match_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.match_series(view(spark, sf_dir, f"SELECT read FROM {_SPINES}"), view(spark, sf_dir, f"SELECT * FROM {_SERIES}"), "408-뉴88-", ("408", "88"))
@@ -155,8 +155,8 @@ def sibling_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @registered(
-    """SELECT scan, pos, call, conf * least(length(regexp_replace(call, '[^0-9A-Za-z가-힣]', '', 'g')), 12) AS score FROM (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY conf * least(length(regexp_replace(call, '[^0-9A-Za-z가-힣]', '', 'g')), 12) DESC, pos) AS rn
-        FROM (SELECT scan, pos, call, round(score, 4) AS conf FROM spine) x) y WHERE rn = 1 AND conf * least(length(regexp_replace(call, '[^0-9A-Za-z가-힣]', '', 'g')), 12) > 0""".replace("conf * least(length(regexp_replace(call, '[^0-9A-Za-z가-힣]', '', 'g')), 12) AS score", "round(conf * least(length(regexp_replace(call, '[^0-9A-Za-z가-힣]', '', 'g')), 12), 6) AS score")
+    """WITH s AS (SELECT scan, pos, call, round(score, 4) * least(length(regexp_replace(call, '[^0-9A-Za-z가-힣]', '', 'g')), 12) AS score FROM spine), r AS (SELECT *, row_number() OVER (PARTITION BY scan ORDER BY score DESC, pos) AS rn FROM s)
+    SELECT scan, pos, call, round(score, 6) AS score FROM r WHERE rn = 1 AND score > 0"""
 )
 def best_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of several readings the one with the most text times confidence, at most twelve characters; the first of equal ones."""

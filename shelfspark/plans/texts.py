@@ -68,9 +68,9 @@ _WRONG = "0OoQ으이피디기니리미비시지치키티히프표드그느르므
 
 
 @registered(
-    f"""SELECT ord, mark, rtrim(mark, right(mark, 1)) || coalesce(m[right(mark, 1)], right(mark, 1)) AS repaired FROM (SELECT ord, left(mark, -1) || substr('{_WRONG}', cast(ord % {len(_WRONG)} AS int) + 1, 1) AS mark FROM holdings) x,
+    f"""SELECT ord, mark, left(mark, -1) || coalesce(m[right(mark, 1)], right(mark, 1)) AS repaired FROM (SELECT ord, left(mark, -1) || substr('{_WRONG}', cast(ord % {len(_WRONG)} AS int) + 1, 1) AS mark FROM holdings) x,
         (SELECT map {{'0': 'ㅇ', 'O': 'ㅇ', 'o': 'ㅇ', 'Q': 'ㅇ', '으': 'ㅇ', '이': 'ㅇ', '피': 'ㅍ', '디': 'ㄷ', '기': 'ㄱ', '니': 'ㄴ', '리': 'ㄹ', '미': 'ㅁ', '비': 'ㅂ', '시': 'ㅅ', '지': 'ㅈ', '치': 'ㅊ', '키': 'ㅋ', '티': 'ㅌ', '히': 'ㅎ',
-        '프': 'ㅍ', '표': 'ㅍ', '드': 'ㄷ', '그': 'ㄱ', '느': 'ㄴ', '르': 'ㄹ', '므': 'ㅁ', '브': 'ㅂ', '스': 'ㅅ', '즈': 'ㅈ', '츠': 'ㅊ', '크': 'ㅋ', '트': 'ㅌ', '흐': 'ㅎ'}} AS m) t""".replace("rtrim(mark, right(mark, 1))", "left(mark, -1)")
+        '프': 'ㅍ', '표': 'ㅍ', '드': 'ㄷ', '그': 'ㄱ', '느': 'ㄴ', '르': 'ㄹ', '므': 'ㅁ', '브': 'ㅂ', '스': 'ㅅ', '즈': 'ㅈ', '츠': 'ㅊ', '크': 'ㅋ', '트': 'ㅌ', '흐': 'ㅎ'}} AS m) t"""
 )
 def jamo_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = view(spark, sf_dir, f"SELECT ord, substr(mark, 1, length(mark) - 1) || substr('{_WRONG}', cast(ord % {len(_WRONG)} AS int) + 1, 1) AS mark FROM holdings")
