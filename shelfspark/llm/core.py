@@ -19,6 +19,7 @@ import contextlib
 import ctypes
 import gc
 import tempfile
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -44,6 +45,7 @@ SLICE_BYTES = 512 << 10
 CHUNK_BYTES = 1 << 20
 
 _local_workspace: list[str] = []
+_tables = threading.local()  # the tables that each thread of the driver has written
 
 
 # --- session helpers -------------------------------------------------------------------------
@@ -72,6 +74,28 @@ def workspace(spark: SparkSession) -> str:
     return f"file://{_local_workspace[0]}"
 
 
+def _written() -> list[str]:
+    if not hasattr(_tables, "paths"):
+        _tables.paths = []
+    return _tables.paths
+
+
+def written() -> int:
+    """A mark in the sequence of tables that this thread has written, for ``discard``."""
+    return len(_written())
+
+
+def discard(spark: SparkSession, since: int, *keep: DataFrame) -> None:
+    """Removes the tables written since a mark but for ``keep``, written ones: they don't need the ones they were made from."""
+    held = {df._stash for df in keep}
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for path in _written()[since:]:
+        if path not in held:
+            where = hadoop.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written()[since:] = [p for p in _written()[since:] if p in held]
+
+
 def stash(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     """Writes a table to the workspace and returns a reader of it, which cuts the lineage.
 
@@ -81,6 +105,7 @@ def stash(df: DataFrame, name: str, large: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{workspace(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    _written().append(path)
     schema = df.schema
     del df
     for _ in range(1 + large):
@@ -88,7 +113,9 @@ def stash(df: DataFrame, name: str, large: bool = False) -> DataFrame:
         spark.sparkContext._jvm.System.gc()
         if large and not spark.sparkContext.master.startswith("local["):
             time.sleep(0.5)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._stash = path
+    return out
 
 
 def prefix_for(df: DataFrame) -> str:
@@ -508,6 +535,7 @@ def components(edges: DataFrame) -> DataFrame:
     the number of rounds grows with the logarithm of the longest path. Rounds are written to the
     workspace, so a lost executor costs one round at most. An empty edge table gives an empty result.
     """
+    spark, mark = edges.sparkSession, written()
     both = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
     both = stash(both.union(both.select("b", "a")).where("a <> b").distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
@@ -520,4 +548,6 @@ def components(edges: DataFrame) -> DataFrame:
         moved = stash(moved, "labels")
         labels = moved.select("node", "component")
         if moved.where("component <> was").isEmpty():
+            discard(spark, mark, moved)
+            labels._stash = moved._stash
             return labels

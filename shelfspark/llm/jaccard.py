@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import KEYS, Chunk, bucket_bits, chunk_corpus, components, documents, from_chunks, keys_out, over_chunks, prefix_for, repeated_keys, reply_keys, sequence_hashes, shorten, small, stash, total_words, trim, window_hashes
+from .core import KEYS, Chunk, bucket_bits, chunk_corpus, components, discard, documents, from_chunks, keys_out, over_chunks, prefix_for, repeated_keys, reply_keys, sequence_hashes, shorten, small, stash, total_words, trim, window_hashes, written
 
 SIGNATURE_BITS = 1024
 FOLDED = 8
@@ -207,9 +207,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The documents, all columns, without those linked to one with a smaller id; rows with equal ids share a fate."""
-    own = f"{prefix_for(docs)}id"
+    own, spark, mark = f"{prefix_for(docs)}id", docs.sparkSession, written()
     found = jaccard_components(docs, size, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(own)).distinct()
-    gone = small(stash(found, "near-duplicates"), 1_000_000)
+    gone = stash(found, "near-duplicates")
+    discard(spark, mark, gone)
+    gone = small(gone, 1_000_000)
     return docs.join(gone, F.col("doc_id").cast("long") == F.col(own), "left_anti")
 
 

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import Words, arrow_limits, byte_hashes, documents, mix64, prefix_for, sequence_hashes, slices, small, stash, string_buffers, trim, window_hashes
+from .core import Words, arrow_limits, byte_hashes, discard, documents, mix64, prefix_for, sequence_hashes, slices, small, stash, string_buffers, trim, window_hashes, written
 
 LINE_DOCS = 1000
 LINE_SHARE = 0.05
@@ -159,10 +159,12 @@ def verdicts(stats: DataFrame, line_docs: int = LINE_DOCS, line_share: float = L
 
 def quality_filter(docs: DataFrame, line_docs: int = LINE_DOCS, line_share: float = LINE_SHARE, keep_first: bool = True) -> DataFrame:
     """The documents that are kept, all columns, with the removed lines gone from their texts. Repeated rows share a fate."""
-    p = prefix_for(docs)
+    p, spark, mark = prefix_for(docs), docs.sparkSession, written()
     found = verdicts(statistics(docs), line_docs, line_share, keep_first=keep_first)
     changed = found.where(~F.col("kept") | (F.size("removed_at") > 0)).groupBy("doc_id", "host", "text_hash").agg(F.min("kept").alias(f"{p}kept"), F.min("removed_at").alias(f"{p}removed"))
-    changed = small(stash(changed.withColumnsRenamed({"doc_id": f"{p}id", "host": f"{p}host", "text_hash": f"{p}hash"}), "verdicts"), BROADCAST_LINES, f"{p}removed")
+    changed = stash(changed.withColumnsRenamed({"doc_id": f"{p}id", "host": f"{p}host", "text_hash": f"{p}hash"}), "verdicts")
+    discard(spark, mark, changed)
+    changed = small(changed, BROADCAST_LINES, f"{p}removed")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{p}id")) & (F.coalesce(F.col("source").cast("string"), F.lit("")) == F.col(f"{p}host")) & (F.xxhash64(text) == F.col(f"{p}hash"))
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(f"{p}removed"), i)), "\n")

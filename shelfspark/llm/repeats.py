@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import FIRST, KEYS, Chunk, Words, bucket_bits, chunk_corpus, documents, from_chunks, keys_out, member, mix64, over_chunks, prefix_for, repeated_keys, reply_keys, shorten, small, stash, total_words, trim, window_hashes
+from .core import FIRST, KEYS, Chunk, Words, bucket_bits, chunk_corpus, discard, documents, from_chunks, keys_out, member, mix64, over_chunks, prefix_for, repeated_keys, reply_keys, shorten, small, stash, total_words, trim, window_hashes, written
 
 WINDOW = 35
 MIN_WORDS = 50
@@ -86,7 +86,9 @@ def repeated_windows(chunks: DataFrame, window: int = WINDOW) -> tuple[DataFrame
             longer = longer[alone[longer] & alone[longer + length - before]]
             yield from _distinct(chunk, window_hashes(hashes, longer, length), bits, wide)
 
+        mark = written() - 1  # the level before
         reply = stash(repeated_keys(over_chunks(chunks, reply, extend, KEYS), wide), "level", large=True)
+        discard(chunks.sparkSession, mark, reply)
     return reply, bits
 
 
@@ -285,8 +287,11 @@ def repeated_passages(chunks: DataFrame, min_words: int = MIN_WORDS, seed: int =
         bucket = table.column("bucket")[0].as_py()
         return pa.table({"bucket": pa.array([bucket] * len(out), pa.int32()), "chunk": pa.array([r[0] for r in out], pa.int64()), "keys": pa.array([r[1] for r in out], pa.binary()), "counts": pa.array([r[2] for r in out], pa.binary())})
 
+    mark = written()
     reply = stash(repeated_keys(from_chunks(chunks, heads, KEYS), True), "suffixes", large=True)
-    return stash(over_chunks(chunks, reply, send, CONTEXTS).groupBy("bucket").applyInArrow(compare, KEYS), "passages", large=True)
+    found = stash(over_chunks(chunks, reply, send, CONTEXTS).groupBy("bucket").applyInArrow(compare, KEYS), "passages", large=True)
+    discard(chunks.sparkSession, mark, found)
+    return found
 
 
 def _found(chunk: Chunk, table: pa.Table, min_words: int, seed: int = SEED) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -360,6 +365,7 @@ def drop_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     White space around a removed passage stays. Documents of which no word is left go; a document that
     had none before stays.
     """
+    spark, mark = docs.sparkSession, written()
     chunks = chunk_corpus(docs)
     reply = repeated_passages(chunks, min_words)
 
@@ -385,7 +391,9 @@ def drop_passages(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     # Copies share a hash; the one that keeps most of its text decides, so that it stays once.
     p = prefix_for(docs)
     changed = changed.groupBy("_id", "_hash").agg(F.max_by("_text", F.coalesce(F.length("_text"), F.lit(-1))).alias("_text"), F.lit(True).alias("_changed"))
-    changed = small(stash(changed, "cut-texts"), BROADCAST_ROWS // 10, "_text").withColumnsRenamed({c: f"{p}{c[1:]}" for c in ("_id", "_hash", "_text", "_changed")})
+    changed = stash(changed, "cut-texts")
+    discard(spark, mark, changed)
+    changed = small(changed, BROADCAST_ROWS // 10, "_text").withColumnsRenamed({c: f"{p}{c[1:]}" for c in ("_id", "_hash", "_text", "_changed")})
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{p}id")) & (F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))) == F.col(f"{p}hash"))
     joined = docs.join(changed, same, "left").where(F.col(f"{p}changed").isNull() | F.col(f"{p}text").isNotNull())
     return joined.withColumn("text", F.when(F.col(f"{p}changed"), F.col(f"{p}text")).otherwise(F.col("text"))).select(docs.columns)
