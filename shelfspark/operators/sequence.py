@@ -11,8 +11,9 @@ from __future__ import annotations
 from bisect import bisect_right
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, StructType
 
 from ..functions.text import sort_key
 from ..plans.catalog import DUCK, SPARK, VIEWS
@@ -69,23 +70,56 @@ def assign(candidates: list[list[int]], uses: int = 2) -> int:
     return max(best.values())
 
 
+def _constant(value, kind: DataType) -> Column:
+    """A collected value, structs and arrays included, as a column of its type."""
+    if value is None:
+        return F.lit(None).cast(kind)
+    if isinstance(kind, StructType):
+        return F.struct(*(_constant(value[f.name], f.dataType).alias(f.name) for f in kind.fields))
+    if isinstance(kind, ArrayType):
+        return F.array(*(_constant(v, kind.elementType) for v in value)).cast(kind)
+    return F.lit(value).cast(kind)
+
+
+def _range_of(rows: DataFrame, keys: list[str], ranges: int = 64, per_range: int = 16) -> Column:
+    """The number of a row's range of keys, of about ``ranges`` or as many as there are shuffle partitions, if they are fewer.
+
+    Bounds are collected once, so a row has the same number in every branch and every run of a plan; ids of range
+    partitions have not, their bounds are sampled and partitions merged for each exchange anew. Bounds decide only how
+    even the ranges are.
+    """
+    n = max(2, min(ranges, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    some = rows.select(F.struct(*keys).alias("k")).orderBy(F.xxhash64("k")).limit(per_range * n)
+    found = some.agg(F.sort_array(F.collect_list("k")).alias("k"))
+    kind, key = found.schema["k"].dataType.elementType, F.struct(*keys)
+    bounds = [_constant(b, kind) for b in found.first()["k"][per_range - 1 :: per_range]]
+
+    def search(first: int, last: int) -> Column:
+        if first == last:
+            return F.lit(first)
+        middle = (first + last) // 2
+        return F.when(key > bounds[middle], search(middle + 1, last)).otherwise(search(first, middle))
+
+    return search(0, len(bounds))
+
+
 def placed(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Adds ``place`` (long, from 1) by the unique keys, without bringing all rows to one task.
 
-    A range-partitioned sort numbers the rows of each partition; the partitions' counts, one number each, shift them.
+    Rows are numbered within ranges of keys; the ranges' counts, one number each, shift them.
     """
-    part = rows.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id())
+    part = rows.withColumn("_part", _range_of(rows, keys)).repartitionByRange("_part")
     part = part.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*keys)).cast("long"))
     counts = part.groupBy("_part").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shifts = F.broadcast(counts.select("_part", before.alias("_before")))  # a row for each partition
+    shifts = F.broadcast(counts.select("_part", before.alias("_before")))  # a row for each range
     return part.join(shifts, "_part").withColumn("place", F.col("_before") + F.col("_row")).drop("_part", "_row", "_before", "_n")
 
 
-def ranked_keys(rows: DataFrame) -> DataFrame:
-    """(key, first, last): for each distinct key the first and last place of its rows in the order of keys."""
+def ranked_keys(rows: DataFrame, run: int = 10_000) -> DataFrame:
+    """(key, first, last): for each distinct key the first and last place of its rows in the order of keys, summed by runs of so many keys."""
     counts = placed(rows.groupBy("key").agg(F.count("*").alias("n")), ["key"])
-    part = counts.repartitionByRange("place").withColumn("_part", F.spark_partition_id())
+    part = counts.withColumn("_part", F.floor((F.col("place") - 1) / run))
     part = part.withColumn("_sum", F.sum("n").over(Window.partitionBy("_part").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
     totals = part.groupBy("_part").agg(F.sum("n").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -112,6 +112,20 @@ def test_no_single_task_sort_of_the_catalog(spark):
     assert "rangepartitioning" in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_places_do_not_depend_on_how_rows_are_dealt(spark):
+    """Partition ids differ between the branches of a plan, so no number may come from them; nulls, structs and arrays are keys too."""
+    df = spark.createDataFrame([(o, ([o * 7 % 300], None if o % 3 else str(o % 11))) for o in range(2000)], "ord long, key struct<a: array<int>, b: string>")
+    out = sequence.placed(df, ["key", "ord"])
+    assert "SPARK_PARTITION_ID" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = sorted(out.collect(), key=lambda r: (r["key"]["a"], r["key"]["b"] or "", r["ord"]))
+    assert [r["place"] for r in rows] == list(range(1, 2001))
+
+
+def test_split_does_not_depend_on_how_rows_are_dealt(spark):
+    out = __spark_entry__.queries()["group_split"](spark, SF)
+    assert "SPARK_PARTITION_ID" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 SF = "/root/testdata/sf0.001"
 REGISTERED = ["assign_count", "merged_boxes", "without_doubles", "near_duplicates_cleared", "greedy_iou", "unread_books", "x_clusters", "loo_inference", "distance", "find_prob", "normal_forms", "shelf_order", "other_orders", "token_search", "match_call_exact", "containment_unique", "prefix_unique", "group_split", "tiled_boxes", "adoption", "read_rates"]
 
