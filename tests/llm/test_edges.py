@@ -350,3 +350,16 @@ def test_line_groups_against_all_pairs(spark):
     by_length = {name: (sum(m for m, (_, _, n) in zip(met, similar) if lo <= n < hi), sum(lo <= n < hi for _, _, n in similar)) for name, lo, hi in (("short", 0, 40), ("middle", 40, 200), ("long", 200, 10**9))}
     print(by_length)
     assert len(similar) >= 20 and sum(met) >= 0.9 * len(met), by_length
+
+
+def test_similar_lines_of_a_large_block_of_strangers(spark):
+    """Two lines that share only runs which many others have, none of them similar: no pivot stands for them."""
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common = [" ".join(word(9) for _ in range(3)) for _ in range(4)]
+    held = lambda n: " ".join(f"{c} {word(n)}" for c in common)
+    strangers = [" ".join(f"{c} {' '.join(word(9) for _ in range(9))}" for c in common) for _ in range(300)]
+    texts = [*strangers[:150], held(3), held(3), *strangers[150:]]
+    all_lines = lines.lines_of(frame(spark, texts), 1)
+    groups = all_lines.join(lines.line_groups(all_lines), ["h", "g"]).select("doc_id", "keep_doc").collect()
+    assert {(r["doc_id"], r["keep_doc"]) for r in groups} == {(150, 150), (151, 150)}
