@@ -363,3 +363,23 @@ def test_similar_lines_of_a_large_block_of_strangers(spark):
     all_lines = lines.lines_of(frame(spark, texts), 1)
     groups = all_lines.join(lines.line_groups(all_lines), ["h", "g"]).select("doc_id", "keep_doc").collect()
     assert {(r["doc_id"], r["keep_doc"]) for r in groups} == {(150, 150), (151, 150)}
+
+
+def test_line_dedup_keeps_no_table_of_all_lines_beside_the_comparison(spark, monkeypatch):
+    """While lines are compared only the distinct ones lie on disk; blocks of features go once their members are written."""
+    seen, compared, verified = [], lines.similar_lines, lines._verified
+
+    def watched(distinct):
+        seen.extend(core._written())
+        return compared(distinct)
+
+    def checked(pairs, distinct):
+        assert not any("/line-features-" in p for p in core._written())
+        return verified(pairs, distinct)
+
+    monkeypatch.setattr(lines, "similar_lines", watched)
+    monkeypatch.setattr(lines, "_verified", checked)
+    mark = core.written()
+    removed = lines.removed_lines(frame(spark, ["one two three four five six\nunlike", "one two three four five six\nother text here"]), 1).collect()
+    assert [(r["doc_id"], r["removed"]) for r in removed] == [(1, [0])]
+    assert any("/distinct-lines-" in p for p in seen[mark:]) and not any("/lines-" in p for p in seen[mark:])
