@@ -383,3 +383,51 @@ def test_line_dedup_keeps_no_table_of_all_lines_beside_the_comparison(spark, mon
     removed = lines.removed_lines(frame(spark, ["one two three four five six\nunlike", "one two three four five six\nother text here"]), 1).collect()
     assert [(r["doc_id"], r["removed"]) for r in removed] == [(1, [0])]
     assert any("/distinct-lines-" in p for p in seen[mark:]) and not any("/lines-" in p for p in seen[mark:])
+
+
+def test_strays_of_few_words_leave_the_join_only_if_similar(spark):
+    """Strangers of few words look alike to SimHashes; a block of them gives no pairs to compare that grow with its square."""
+    rng = random.Random(3)
+    syllables = ["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha"]
+    some = lambda: ["".join(rng.choices(syllables, k=rng.choice([1, 2, 3]))) for _ in range(3)]
+    texts = sorted({" ".join([*some(), "tion", *some()]) for _ in range(200)})
+    texts += [texts[0] + "x", texts[-1] + "x"]
+    distinct = lines.distinct_lines(lines.split_lines(frame(spark, texts), 1))
+    made = distinct.select("h", "chars", lines._features(F.col("norm")).alias("f")).select("h", "chars", "f.words", "f.bits.s0", "f.bits.s1")
+    members = made.select(F.lit(1).cast("long").alias("block"), "*", F.lit(len(texts)).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("pivots"))
+    names = distinct.select("h", "norm")
+    found = lines._strays(members, spark.createDataFrame([], "node long, component long"), distinct)
+    got = found.join(names.withColumnsRenamed({"h": "a", "norm": "x"}), "a").join(names.withColumnsRenamed({"h": "b", "norm": "y"}), "b").collect()
+    pairs = {tuple(sorted([r["x"], r["y"]])) for r in got}
+    distance = {(r["x"], r["y"]): r["d"] for r in spark.createDataFrame(list(pairs), "x string, y string").select("x", "y", F.levenshtein("x", "y").alias("d")).collect()}
+    assert {(texts[0], texts[-2]), (texts[-3], texts[-1])} <= pairs
+    assert all(d <= max(map(len, p)) // 5 for p, d in distance.items())
+
+
+def test_couples_lose_no_similar_line_of_few_words(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(300):
+        x = list("".join(rng.choices("aab é한😀tx ", k=rng.randint(1, 60))))
+        y = list(x)
+        for _ in range(rng.randint(0, len(x) // 3)):
+            at = rng.randrange(len(y) + 1)
+            y[at : at + rng.choice([0, 1])] = rng.choice(["", "a", "é", "한"])
+        rows.append(("".join(x), "".join(y)))
+    pairs = spark.createDataFrame(rows, "norm string, o_norm string").select("*", F.length("norm").alias("chars"), F.length("o_norm").alias("o_chars"), lines._couples(F.col("norm")).alias("c"), lines._couples(F.col("o_norm")).alias("o_c"))
+    pairs = pairs.select("*", *(F.col(f"{o}c")[k].alias(f"{o}c{k}") for o in ("", "o_") for k in range(lines.COUPLES)))
+    near = F.levenshtein("norm", "o_norm") <= F.floor(0.2 * F.greatest("chars", "o_chars") + 1e-9)
+    got = pairs.select(near.alias("near"), lines._few_similar("o_").alias("got")).collect()
+    assert [r["got"] for r in got] == [r["near"] for r in got] and 50 < sum(r["near"] for r in got) < 290
+
+
+def test_longer_runs_start_at_the_places_of_their_blocks(spark):
+    """Hashes of six and of twelve words, or of eight and sixteen characters, agree if the texts do from the block's place on."""
+    same = "one two three four five six seven eight nine ten eleven twelve"
+    texts = [f"{same} thirteen", f"zero {same}", "one two three four five six seven eight nine ten eleven xii thirteen", "one two three 4 five six seven eight nine"]
+    block = lambda norm: lines._keyed(lines._hashed_words(norm), lines.WORD_GRAM, 1)
+    one = spark.createDataFrame([(t,) for t in texts], "norm string").withColumn("block", F.lit(block(F.lit("one two three"))[0]))
+    got = [r["l"] for r in one.select(lines._longer(F.col("norm"), F.array("block")).alias("l")).collect()]
+    assert [len(x) for x in got] == [1, 1, 1, 1]
+    a, b, c, d = (x[0]["rest"] for x in got)
+    assert a == b and a[0] == c[0] and a[1] != c[1] and a[0] != d[0]
