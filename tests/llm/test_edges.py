@@ -404,6 +404,30 @@ def test_strays_of_few_words_leave_the_join_only_if_similar(spark):
     assert all(d <= max(map(len, p)) // 5 for p, d in distance.items())
 
 
+@pytest.mark.parametrize(("whole", "tile"), [(256, 2048), (20, 16)])
+def test_strays_leave_the_join_only_if_similar(spark, monkeypatch, whole, tile):
+    """Near copies below the similarity give no pairs to compare that grow with their square; similar ones that share several blocks come out once."""
+    monkeypatch.setattr(lines, "WHOLE", whole, raising=False)
+    monkeypatch.setattr(lines, "TILE", tile)
+    rng = random.Random(6)
+    base = prose(91, 30, 5000).split()
+    texts = sorted({" ".join(w if rng.random() > rng.choice([0.1, 0.3]) else prose(rng.randrange(10**6), 1, 5000) for w in base) for _ in range(90)})
+    distinct = lines.distinct_lines(lines.split_lines(frame(spark, texts), 1))
+    made = distinct.select("h", "chars", lines._features(F.col("norm")).alias("f")).select("h", "chars", "f.words", "f.bits.s0", "f.bits.s1")
+    shared = [(b, part) for b, part in ((1, 0), (2, 0), (2, 1), (3, 1), (4, 0), (4, 1))]  # lines by the parity of their hash
+    blocks = spark.createDataFrame(shared, "block long, part long")
+    members = made.withColumn("part", F.pmod("h", F.lit(2))).join(F.broadcast(blocks), "part").drop("part")
+    members = members.select("block", "h", *lines._TRAITS, F.lit(len(texts)).cast("long").alias("n"), F.array(F.lit(0).cast("long")).alias("pivots"))
+    found = lines._strays(members, spark.createDataFrame([], "node long, component long"), distinct).collect()
+    rows = {r["h"]: r for r in made.join(distinct.select("h", "norm"), "h").collect()}
+    differ = lambda x, y: sum(((x[s] ^ y[s]) & (1 << 64) - 1).bit_count() for s in ("s0", "s1"))
+    pairs = [(a, b) for a in rows for b in rows if a < b and differ(rows[a], rows[b]) <= lines.WORD_BITS]
+    texts_of = spark.createDataFrame([(a, b, rows[a]["norm"], rows[b]["norm"]) for a, b in pairs], "a long, b long, x string, y string")
+    similar = texts_of.where(F.levenshtein("x", "y") <= F.floor(0.2 * F.greatest(F.length("x"), F.length("y")) + 1e-9)).collect()
+    assert sorted((r["a"], r["b"]) for r in found) == sorted((r["a"], r["b"]) for r in similar)
+    assert 10 < len(similar) < 0.8 * len(pairs)
+
+
 def test_couples_lose_no_similar_line_of_few_words(spark):
     rng = random.Random(4)
     rows = []
