@@ -455,3 +455,29 @@ def test_longer_runs_start_at_the_places_of_their_blocks(spark):
     assert [len(x) for x in got] == [1, 1, 1, 1]
     a, b, c, d = (x[0]["rest"] for x in got)
     assert a == b and a[0] == c[0] and a[1] != c[1] and a[0] != d[0]
+
+
+def test_strays_visit_the_classes_of_lengths_in_reach_and_are_shuffled_once(spark, monkeypatch):
+    """Similar lengths meet; a stray has two rows as a rule, and both ways of the search for near lines read one shuffle of each table."""
+    sizes = spark.range(1, 600).select("id", lines._size(F.col("id")).alias("size"), lines._in_reach(F.col("id")).alias("reach")).collect()
+    own = {r["id"]: r["size"] for r in sizes}
+    assert all(own[b] in r["reach"] for r in sizes for b in own if min(b, r["id"]) >= 0.8 * max(b, r["id"]) - 1e-9)
+    assert sum(len(r["reach"]) for r in sizes) < 2.2 * len(sizes)
+    plans, put = [], lines.stash
+
+    def kept(df, name, large=False):
+        if name == "stray-lines":
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return put(df, name, large)
+
+    monkeypatch.setattr(lines, "stash", kept)
+    monkeypatch.setattr(lines, "WHOLE", 16)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        texts = [" ".join(f"w{k}x{j}" for j in range(6 + k % 9)) + " one common tail" for k in range(60)]
+        distinct = spark.createDataFrame([(k + 1, 1, 1, len(t), t) for k, t in enumerate(texts)], "h long, g long, copies long, chars int, norm string")
+        lines.similar_lines(distinct).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plans and "ReusedExchange" in plans[0].split("== Initial Plan ==")[0]
